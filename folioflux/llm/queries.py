@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioflux.llm.gif import op10_media
+from folioflux.llm.packing import op9_pieces
 from folioflux.llm.sharding import op6_shards
 
 
@@ -21,8 +23,18 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_shards(_documents(spark, sf_dir))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_pieces(_documents(spark, sf_dir))
+
+
+def op10_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_media(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
+    "op9_packing": op9_packing,
+    "op10_gif": op10_gif,
 }
 
 ORACLE_SQL: dict[str, str] = {}
