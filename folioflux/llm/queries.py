@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioflux.llm.decontamination import op7_contamination
 from folioflux.llm.gif import op10_media
 from folioflux.llm.packing import op9_pieces
 from folioflux.llm.sharding import op6_shards
@@ -23,6 +24,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_shards(_documents(spark, sf_dir))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_contamination(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_pieces(_documents(spark, sf_dir))
 
@@ -33,6 +38,7 @@ def op10_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
+    "op7_decontamination": op7_decontamination,
     "op9_packing": op9_packing,
     "op10_gif": op10_gif,
 }
