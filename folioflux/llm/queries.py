@@ -10,6 +10,7 @@ from folioflux.llm.decontamination import op7_contamination
 from folioflux.llm.gif import op10_media
 from folioflux.llm.packing import op9_pieces
 from folioflux.llm.sharding import op6_shards
+from folioflux.llm.toxicity import op4_scores
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_scores(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_shards(_documents(spark, sf_dir))
 
@@ -37,6 +42,7 @@ def op10_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_toxicity": op4_toxicity,
     "op6_sharding": op6_sharding,
     "op7_decontamination": op7_decontamination,
     "op9_packing": op9_packing,

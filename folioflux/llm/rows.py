@@ -14,6 +14,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Text bytes handled at once.  One longer text makes a block of its own.
 BLOCK_BYTES = 4 << 20
@@ -58,6 +62,29 @@ def text_blocks(batches: Iterator[pa.RecordBatch], id_col: str = "doc_id", text_
             yield _one_block(ids.slice(lo, hi - lo), text.slice(lo, hi - lo))
 
 
+def append_score(docs: DataFrame, scorer: Broadcast, name: str, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
+    """``docs`` (its columns ``keep``, all by default) with ``scorer.value.scores(block)``.
+
+    ``name`` must not be a column that is kept.
+    """
+    keep = docs.columns if keep is None else keep
+    if name in keep:
+        raise ValueError(f"{name} is a column already")
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text"))
+    schema = StructType([*kept.schema.fields[:-1], StructField(name, DoubleType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = scorer.value
+        for batch in batches:
+            found = [np.zeros(0)]
+            for block in text_blocks(iter([batch]), "__text", "__text"):
+                found.append(model.scores(block))
+            columns = [batch.column(k) for k in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(found), pa.float64())], names=[*keep, name])
+
+    return kept.mapInArrow(work, schema)
+
+
 def crc_of_ids(ids: pa.Array) -> np.ndarray:
     """crc32 of each id written as text; a null id counts as an empty text."""
     return np.fromiter((zlib.crc32(str(v).encode()) if v is not None else 0 for v in ids.to_pylist()), np.int64, len(ids))
@@ -155,3 +182,36 @@ def chain(parts: list[np.ndarray]) -> np.ndarray:
     for part in parts:
         h = mix(h * np.uint64(0x9DDFEA08EB382D69) ^ part)
     return h
+
+
+def block_of(texts: list[str]) -> TextBlock:
+    """Texts at hand as one block."""
+    return next(text_blocks(iter([pa.RecordBatch.from_pydict({"doc_id": range(len(texts)), "text": pa.array(texts, pa.large_string())})]), limit=1 << 62))
+
+
+def families(texts: list[str], words: int = 3, draws: int = 6) -> list[int]:
+    """A number per text that near copies share: texts with an equal least hash of their
+    shingles, in any of some draws, are linked."""
+    block = block_of(texts)
+    found = find_words(block, NON_SPACE)
+    h = hash_spans(block.data, found.lo, found.hi)
+    n = len(h) - words + 1
+    root = list(range(len(texts)))
+    if n < 1:
+        return root
+
+    def top(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    shingles = chain([h[k : k + n] for k in range(words)])
+    for draw in range(draws):
+        drawn, first = mix(shingles ^ np.uint64(0x9E3779B97F4A7C15 * draw & (1 << 64) - 1)), {}
+        for k in range(len(texts)):
+            own = drawn[found.first[k] : max(found.first[k], found.first[k + 1] - words + 1)]
+            if len(own):
+                a, b = top(k), top(first.setdefault(int(own.min()), k))
+                root[max(a, b)] = min(a, b)
+    return [top(k) for k in range(len(texts))]
