@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folioflux.llm.decontamination import op7_contamination
 from folioflux.llm.gif import op10_media
+from folioflux.llm.language_id import op3_languages
 from folioflux.llm.packing import op9_pieces
+from folioflux.llm.quality import op8_scores
 from folioflux.llm.sharding import op6_shards
 from folioflux.llm.toxicity import op4_scores
 
@@ -21,6 +23,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_scores(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -33,6 +39,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_contamination(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_scores(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_pieces(_documents(spark, sf_dir))
 
@@ -42,9 +52,11 @@ def op10_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
     "op6_sharding": op6_sharding,
     "op7_decontamination": op7_decontamination,
+    "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_gif": op10_gif,
 }
