@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from folioflux.llm.decontamination import op7_contamination
 from folioflux.llm.gif import op10_media
 from folioflux.llm.language_id import op3_languages
+from folioflux.llm.ngram_lm import op2_scores
 from folioflux.llm.packing import op9_pieces
 from folioflux.llm.quality import op8_scores
 from folioflux.llm.sharding import op6_shards
@@ -23,6 +24,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_scores(_documents(spark, sf_dir))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -52,6 +57,7 @@ def op10_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lm_score": op2_lm_score,
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
     "op6_sharding": op6_sharding,
