@@ -18,7 +18,6 @@ than four times the input on disk.
 
 from __future__ import annotations
 
-import io
 import os
 import uuid
 from collections.abc import Iterator
@@ -30,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflux.llm.labels import remainder
+from folioflux.llm.messages import MESSAGE, messages, packed, unpacked
 from folioflux.llm.rows import LOWER, NON_SPACE, TextBlock, chain, find_words, hash_spans, text_blocks
 from folioflux.llm.shared_store import fresh_path
 
@@ -63,17 +63,6 @@ def contexts(token: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 # --- messages ----------------------------------------------------------------------
-def _packed(**arrays: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **arrays)
-    return out.getvalue()
-
-
-def _unpacked(message: bytes) -> dict[str, np.ndarray]:
-    with np.load(io.BytesIO(message)) as found:
-        return {k: found[k] for k in found.files}
-
-
 def _small(counts: np.ndarray) -> dict[str, np.ndarray]:
     """Counts as bytes, those over 254 beside them."""
     large = np.flatnonzero(counts > 254)
@@ -104,18 +93,6 @@ def pair_shard(first: np.ndarray, second: np.ndarray, hot: np.ndarray, shards: i
     return word_shard(np.where(hot[at] == first, first ^ second, first), shards)
 
 
-_MESSAGE = "shard bigint, kind string, body binary"
-
-
-def _messages(shard: np.ndarray, kind: str, shards: int, pack) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-    """One row per shard that has entries; ``pack`` gets the entries' places, by shard."""
-    order = np.argsort(shard, kind="stable")
-    bounds = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
-    for s in np.flatnonzero(np.diff(bounds)):
-        body = pack(order[bounds[s] : bounds[s + 1]])
-        yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int64()), pa.array([kind]), pa.array([body], pa.binary())], names=["shard", "kind", "body"])
-
-
 # --- storage -----------------------------------------------------------------------
 def _save(folder: str, name: str, **arrays: np.ndarray) -> None:
     for part, values in arrays.items():
@@ -235,7 +212,7 @@ def _word_messages(docs: DataFrame, shards: int) -> DataFrame:
         def send() -> Iterator[pa.RecordBatch]:
             if held:
                 keys, n = _summed(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
-                yield from _messages(word_shard(keys, shards), "count", shards, lambda at: _packed(key=keys[at], **_small(n[at])))
+                yield from messages(word_shard(keys, shards), "count", shards, lambda at: packed(key=keys[at], **_small(n[at])))
                 held.clear()
 
         for block in text_blocks(batches, "text"):
@@ -244,7 +221,7 @@ def _word_messages(docs: DataFrame, shards: int) -> DataFrame:
                 yield from send()
         yield from send()
 
-    return _texts(docs).mapInArrow(count, _MESSAGE)
+    return _texts(docs).mapInArrow(count, MESSAGE)
 
 
 def _pair_messages(docs: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
@@ -266,9 +243,9 @@ def _pair_messages(docs: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
             def pack(at: np.ndarray) -> bytes:
                 own = v[at]
                 starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                return _packed(v=own[starts], run=np.diff(np.append(starts, len(own))).astype(np.uint32), w=w[at], **_small(n[at]))
+                return packed(v=own[starts], run=np.diff(np.append(starts, len(own))).astype(np.uint32), w=w[at], **_small(n[at]))
 
-            yield from _messages(pair_shard(v, w, hot, shards), "pairs", shards, pack)
+            yield from messages(pair_shard(v, w, hot, shards), "pairs", shards, pack)
 
         for block in text_blocks(batches, "text"):
             token, first = tokens(block)
@@ -279,17 +256,17 @@ def _pair_messages(docs: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
                 yield from send()
         yield from send()
 
-    return _texts(docs).mapInArrow(count, _MESSAGE)
+    return _texts(docs).mapInArrow(count, MESSAGE)
 
 
-def _merge_pairs(messages: DataFrame, folder: str, shards: int) -> DataFrame:
+def _merge_pairs(rows: DataFrame, folder: str, shards: int) -> DataFrame:
     """Store each shard's pairs; send on what they say of their first and second words."""
 
     def merge(group: pa.Table) -> pa.Table:
         shard = group.column("shard")[0].as_py()
         v, w, n = [], [], []
         for body in group.column("body"):
-            m = _unpacked(body.as_py())
+            m = unpacked(body.as_py())
             v.append(np.repeat(m["v"], m["run"]))
             w.append(m["w"])
             n.append(_large(m))
@@ -302,23 +279,23 @@ def _merge_pairs(messages: DataFrame, folder: str, shards: int) -> DataFrame:
         _save(folder, f"pairs-{shard}", key=h[heads], count=n)
         first, total, n1, n2, n3 = _summed(v, n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n >= 3).astype(np.int64))
         second, cont = _summed(w, np.ones(len(w), np.int64))
-        out = list(_messages(word_shard(first, shards), "first", shards, lambda at: _packed(key=first[at], total=total[at], n1=n1[at].astype(np.uint32), n2=n2[at].astype(np.uint32), n3=n3[at].astype(np.uint32))))
-        out += _messages(word_shard(second, shards), "second", shards, lambda at: _packed(key=second[at], **_small(cont[at])))
+        out = list(messages(word_shard(first, shards), "first", shards, lambda at: packed(key=first[at], total=total[at], n1=n1[at].astype(np.uint32), n2=n2[at].astype(np.uint32), n3=n3[at].astype(np.uint32))))
+        out += messages(word_shard(second, shards), "second", shards, lambda at: packed(key=second[at], **_small(cont[at])))
         # The counts of counts go along with the last row of the shard.
         sums = np.bincount(np.minimum(n, 5), minlength=6)[1:5]
-        out.append(pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array(["sums"]), pa.array([_packed(sums=sums)], pa.binary())], names=["shard", "kind", "body"]))
+        out.append(pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array(["sums"]), pa.array([packed(sums=sums)], pa.binary())], names=["shard", "kind", "body"]))
         return pa.Table.from_batches(out)
 
-    return messages.groupBy("shard").applyInArrow(merge, _MESSAGE)
+    return rows.groupBy("shard").applyInArrow(merge, MESSAGE)
 
 
-def _merge_words(messages: DataFrame, folder: str) -> DataFrame:
+def _merge_words(rows: DataFrame, folder: str) -> DataFrame:
     """Store each shard's words; give its sums."""
 
     def merge(group: pa.Table) -> pa.Table:
         shard, parts = group.column("shard")[0].as_py(), []
         for kind, body in zip(group.column("kind").to_pylist(), group.column("body"), strict=True):
-            m = _unpacked(body.as_py())
+            m = unpacked(body.as_py())
             size = len(m["key"])
             zero = np.zeros(size, np.int64)
             if kind == "count":
@@ -334,7 +311,7 @@ def _merge_words(messages: DataFrame, folder: str) -> DataFrame:
         row = [int(values[0].sum()), int((values[0] > 0).sum()), int(cont.sum()), *by, int((cont >= 3).sum())]
         return pa.table({k: pa.array([x], pa.int64()) for k, x in zip(_SUMS, row, strict=True)})
 
-    return messages.groupBy("shard").applyInArrow(merge, ", ".join(f"{k} bigint" for k in _SUMS))
+    return rows.groupBy("shard").applyInArrow(merge, ", ".join(f"{k} bigint" for k in _SUMS))
 
 
 _SUMS = ("tokens", "words", "cont", "c1", "c2", "c3", "c4", "c3_more")
@@ -363,7 +340,7 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Model:
     merged = _merge_pairs(_pair_messages(docs, shards, hot), folder, shards).checkpoint()
     pair_sums = np.zeros(4, np.int64)
     for r in merged.where("kind = 'sums'").select("body").toLocalIterator():
-        pair_sums += _unpacked(r.body)["sums"]
+        pair_sums += unpacked(r.body)["sums"]
     rows = _merge_words(word_rows.unionByName(merged.where("shard >= 0")), folder)
     s = rows.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in _SUMS]).first()
     d = discounts(np.array([s.c1, s.c2, s.c3, s.c4]))
@@ -375,7 +352,7 @@ def _hot_words(word_rows: DataFrame) -> np.ndarray:
     """Words with a ``HOT_PART``-th of all tokens or more; there are at most that many."""
 
     def totals(group: pa.Table) -> pa.Table:
-        parts = [_unpacked(b.as_py()) for b in group.column("body")]
+        parts = [unpacked(b.as_py()) for b in group.column("body")]
         key, n = _summed(np.concatenate([m["key"] for m in parts]), np.concatenate([_large(m) for m in parts]))
         top = np.argsort(-n, kind="stable")[:HOT_PART]
         return pa.table({"key": pa.array(key[top].view(np.int64), pa.int64()), "n": pa.array(n[top], pa.int64()), "sum": pa.array([int(n.sum())] + [0] * (len(top) - 1), pa.int64())})
