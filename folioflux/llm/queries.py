@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folioflux.llm.decontamination import op7_contamination
 from folioflux.llm.gif import op10_media
+from folioflux.llm.jaccard_join import op1_classes
 from folioflux.llm.language_id import op3_languages
 from folioflux.llm.ngram_lm import op2_scores
 from folioflux.llm.packing import op9_pieces
@@ -24,6 +25,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_classes(_documents(spark, sf_dir))
+
+
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_scores(_documents(spark, sf_dir))
 
@@ -57,6 +62,7 @@ def op10_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_lm_score": op2_lm_score,
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
