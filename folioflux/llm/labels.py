@@ -11,36 +11,36 @@ def remainder(mod: int, key: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(mod))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: Column) -> DataFrame:
-    """(doc_id, text, label) of rows in ``fold`` with one known label and a text.
-
-    A doc_id whose labels contradict each other is left out.
-    """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("__other")).where("label = __other").drop("__other")
-    return docs.where(fold & F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text").join(known, "doc_id")
+def known_labels(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label) of doc_ids with one known label; contradicting ones are left out."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("__other"))
+    return known.where("label = __other").drop("__other")
 
 
-def fetch_sample(rows: DataFrame, total_bytes: int, per_label: int) -> tuple[list[str], list]:
-    """Up to ``per_label`` rows of each label, in the order of a hash of doc_id and text.
+def fetch_sample(docs: DataFrame, labels: DataFrame | None, total_bytes: int, per_label: int, fold: Column) -> tuple[list[str], list]:
+    """Texts and labels of up to ``per_label`` rows a label, ``total_bytes`` in all.
 
-    Only whole texts are taken, and those longer than a hundredth of ``total_bytes`` are
-    left to scoring, which bounds the driver's memory by ``total_bytes`` in all.
+    Rows are taken in the order of a hash of doc_id, from those in ``fold`` with a text
+    and a label: the one in ``labels``, or ``docs.label`` where that is None.  Only whole
+    texts are taken, and those longer than a hundredth of ``total_bytes`` are left to
+    scoring.  Ids and sizes alone are joined; the texts of the chosen ids, bounded as
+    said, are then read through a broadcast of these ids.
     """
-    short = rows.where(F.octet_length("text") <= total_bytes // 100)
-    sizes = short.withColumn("size", F.octet_length("text").cast("long")).select("label", "doc_id", "size", F.xxhash64("doc_id", F.lit(11)).alias("h"))
-    counts = {r.label: (r.n, r.mean) for r in sizes.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean")).collect()}
+    text = F.col("text").cast("string")
+    rows = docs.where(fold & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.octet_length(text) <= total_bytes // 100))
+    slim = rows.select("doc_id", F.octet_length(text).cast("long").alias("size"), *(["label"] if labels is None else []))
+    if labels is not None:
+        slim = slim.join(labels, "doc_id")
+    slim = slim.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(11)), 2))
+    counts = {r.label: (r.n, r.mean) for r in slim.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean")).collect()}
     if not counts:
         return [], []
-    span, texts, found = 1 << 62, [], []
-    share = total_bytes / len(counts)
-    keep = F.lit(False)
+    span, keep = 1 << 62, F.lit(False)
     for label, (n, mean) in counts.items():
-        want = min(per_label, int(share / max(1.0, mean)))
-        part = min(1.0, want / n)
-        keep = keep | ((F.col("label") == F.lit(label)) & (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(11)), 2) < F.lit(int(part * (span - 1)))))
-    spent = 0
-    for r in sorted(short.where(keep).select("label", "text", "doc_id").toLocalIterator(), key=lambda r: (r.doc_id, r.text)):
-        spent += len(r.text)
-        texts.append(r.text)
-        found.append(r.label)
-    return texts, found
+        part = min(1.0, min(per_label, int(total_bytes / len(counts) / max(1.0, mean))) / n)
+        keep = keep | ((F.col("label") == F.lit(label)) & (F.col("h") < F.lit(int(part * (span - 1)))))
+    chosen = {r.doc_id: r.label for r in slim.where(keep).select("doc_id", "label").collect()}
+    ids = docs.sparkSession.createDataFrame([(k,) for k in chosen], "doc_id long")
+    found = rows.select("doc_id", text.alias("text")).join(F.broadcast(ids), "doc_id").collect()
+    found.sort(key=lambda r: (r.doc_id, r.text))
+    return [r.text for r in found], [chosen[r.doc_id] for r in found]

@@ -190,7 +190,7 @@ def train_model(docs: DataFrame, folds: int = FOLDS, held: int = HELD) -> Langua
     rows = docs.where((remainder(folds) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     df, n_docs = document_frequencies(rows)
     sample = rows.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("label"))
-    return fit(*fetch_sample(sample, SAMPLE_BYTES, SAMPLE_ROWS), df, n_docs)
+    return fit(*fetch_sample(sample, None, SAMPLE_BYTES, SAMPLE_ROWS, F.lit(True)), df, n_docs)
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflux.llm.labels import fetch_sample, labelled, remainder
+from folioflux.llm.labels import fetch_sample, known_labels, remainder
 from folioflux.llm.rows import TextBlock, append_score
 
 FOLDS, HELD = 3, 1
@@ -157,8 +157,8 @@ def fit(texts: list[str], good: list[int], epochs: int = EPOCHS, seed: int = 3)
 
 def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD) -> ByteNet:
     """Learn from labelled rows outside the held-out fold."""
-    rows = labelled(docs, labels, "quality", remainder(folds) != held).where("label in (0, 1)")
-    return fit(*fetch_sample(rows, SAMPLE_BYTES, SAMPLE_ROWS))
+    known = known_labels(labels, "quality").where("label in (0, 1)")
+    return fit(*fetch_sample(docs, known, SAMPLE_BYTES, SAMPLE_ROWS, remainder(folds) != held))
 
 
 def score_texts(docs: DataFrame, net: ByteNet, name: str = "score", keep: list[str] | None = None) -> DataFrame:

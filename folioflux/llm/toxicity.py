@@ -22,12 +22,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflux.llm.labels import fetch_sample, labelled, remainder
+from folioflux.llm.labels import fetch_sample, known_labels, remainder
 from folioflux.llm.rows import TextBlock, append_score, families
 
 FOLDS, HELD = 5, 0
 #: Bound of the labelled sample that reaches the driver.
-SAMPLE_BYTES, SAMPLE_ROWS = 48 << 20, 6000
+SAMPLE_BYTES, SAMPLE_ROWS = 20 << 20, 3000
 THRESHOLD = 0.5
 STEM_MIN, STEM_MAX = 3, 12
 MAX_STEMS = 400
@@ -175,15 +175,20 @@ def learn_stems(texts: list[str], toxic: list[int]) -> dict[str, float]:
     for text, label, family in zip(texts, toxic, families(texts) if texts else [], strict=True):
         alike.setdefault((label, family), []).append(text)
     size = Counter(label for label, _ in alike)
-    for (label, _), group in sorted(alike.items()):
-        text = "\n".join(group)
-        words = set(_WORD.findall(text.lower()))
-        stems = {w[:k] for w in words for k in range(STEM_MIN, min(len(w), STEM_MAX) + 1)} | {w for w in words if len(w) <= STEM_MAX}
-        seen[label].update(stems)
     rate = size[1] / max(1, len(alike))
     if not 0 < rate < 1:
         return {}
-    tried = math.log(100 * max(1, len(seen[1])))
+    tried = 0.0
+    for wanted in (1, 0):  # clean texts are asked for the stems of toxic ones only
+        for (label, _), group in sorted(alike.items()):
+            if label != wanted:
+                continue
+            words = set(_WORD.findall("\n".join(group).lower()))
+            stems = {w[:k] for w in words for k in range(STEM_MIN, min(len(w), STEM_MAX) + 1)} | {w for w in words if len(w) <= STEM_MAX}
+            seen[label].update(stems if label else stems & seen[1].keys())
+        if wanted:
+            tried = math.log(100 * max(1, len(seen[1])))
+            seen[1] = Counter({s: n for s, n in seen[1].items() if -n * math.log(rate) > tried})
     odds = {}
     for stem, n in seen[1].items():
         clean = seen[0][stem]
@@ -252,8 +257,8 @@ def _ready(grammar: Grammar) -> Grammar:
 
 def fit_grammar(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD) -> Grammar:
     """Learn from labelled rows outside the held-out fold; without any, the seed words."""
-    rows = labelled(docs, labels, "toxic", remainder(folds) != held).where("label in (0, 1)")
-    return fit(*fetch_sample(rows, SAMPLE_BYTES, SAMPLE_ROWS))
+    known = known_labels(labels, "toxic").where("label in (0, 1)")
+    return fit(*fetch_sample(docs, known, SAMPLE_BYTES, SAMPLE_ROWS, remainder(folds) != held))
 
 
 def score_texts(docs: DataFrame, grammar: Grammar, name: str = "score", keep: list[str] | None = None) -> DataFrame:
