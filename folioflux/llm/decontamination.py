@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from folioflux.llm.rows import LOWER, WORD_BYTE, TextBlock, find_words, hash_spans, text_blocks
 
@@ -241,12 +242,18 @@ def find_items(docs: DataFrame, items: DataFrame, size: int = WINDOW, slack: int
     one; null texts have no words.
     """
     context = docs.sparkSession.sparkContext
-    sent, vocabulary = [], np.zeros(0, np.uint64)
-    for block in window_blocks(item_windows(items, size), per_block):
-        vocabulary = np.union1d(vocabulary, block.vocabulary()) if len(vocabulary) < per_block else vocabulary
-        sent.append(context.broadcast(block))
-    whole = len(vocabulary) >= per_block and len(sent) > 1
-    return search(build_index(docs, None if whole else vocabulary), sent, slack)
+    sent = [context.broadcast(block) for block in window_blocks(item_windows(items, size), per_block)]
+    return search(build_index(docs, _vocabulary(sent, per_block)), sent, slack)
+
+
+def _vocabulary(blocks: list[Broadcast], limit: int) -> np.ndarray | None:
+    """Terms of all windows; None, which stands for every term, where they are many."""
+    terms = np.zeros(0, np.uint64)
+    for n, block in enumerate(blocks):
+        terms = np.union1d(terms, block.value.vocabulary())
+        if n and len(terms) > limit:
+            return None
+    return terms
 
 
 def op7_contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -259,3 +266,51 @@ def op7_contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+def cut_passages(docs: DataFrame, items: DataFrame, size: int = WINDOW, per_block: int = WINDOWS_PER_BLOCK) -> DataFrame:
+    """``docs`` with each covered stretch of words taken out of its text.
+
+    A stretch goes from its first word's first byte to its last word's last byte, so
+    what stands around it stays.  Texts without a hit come back byte for byte, null
+    ones null; all other columns and repeated rows stay as they are.
+
+    The index of a block of texts is searched where the texts are, so that each hit
+    meets its text without a join.
+    """
+    context = docs.sparkSession.sparkContext
+    blocks = [context.broadcast(b) for b in window_blocks(item_windows(items, size), per_block)]
+    wanted = context.broadcast(_vocabulary(blocks, per_block))
+    columns = docs.columns
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for block in text_blocks(iter([batch]), "__text", "__text"):
+                words = find_words(block, WORD_BYTE)
+                _, _, base, terms, start, postings = _segment(block, wanted.value)
+                segment, bases = Segment.of(terms, start, postings), np.array(base)
+                spans: dict[int, list[np.ndarray]] = {}
+                for sent in blocks:
+                    window, begin = segment.find(sent.value)
+                    row = np.searchsorted(bases, begin, side="right") - 1
+                    for k in np.unique(row).tolist():
+                        own = row == k
+                        lo = begin[own] - bases[k]
+                        spans.setdefault(k, []).append(np.stack([lo, lo + sent.value.words[window[own]]]))
+                for k in range(len(block)):
+                    if k not in spans:
+                        texts.append(None if block.is_null[k] else block.raw(k).decode("utf-8", "replace"))
+                        continue
+                    kept, done = [], block.starts[k]
+                    for lo, hi in _union(*np.concatenate(spans[k], axis=1)):
+                        kept.append(block.data[done : words.lo[words.first[k] + lo]])
+                        done = words.hi[words.first[k] + hi - 1]
+                    kept.append(block.data[done : block.ends[k]])
+                    texts.append(np.concatenate(kept).tobytes().decode("utf-8", "replace"))
+            out = [pa.array(texts, pa.string()) if c == "text" else batch.column(n) for n, c in enumerate(columns)]
+            yield pa.RecordBatch.from_arrays(out, names=columns)
+
+    sent_rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").cast("string").alias("__text"))
+    schema = StructType([StructField("text", StringType()) if f.name == "text" else f for f in docs.schema.fields])
+    return sent_rows.mapInArrow(work, schema)

@@ -15,6 +15,8 @@ from folioflux.llm.packing import op9_pieces
 from folioflux.llm.quality import op8_scores
 from folioflux.llm.sharding import op6_shards
 from folioflux.llm.toxicity import op4_scores
+from folioflux.llm.warc import ORACLE_SQL as REVISITS_SQL
+from folioflux.llm.warc import op5_revisits
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +43,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_scores(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_revisits(table(spark, sf_dir, "pages"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_shards(_documents(spark, sf_dir))
 
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_score": op2_lm_score,
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
+    "op5_warc_revisits": op5_warc_revisits,
     "op6_sharding": op6_sharding,
     "op7_decontamination": op7_decontamination,
     "op8_quality": op8_quality,
@@ -73,4 +80,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_gif": op10_gif,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc_revisits": REVISITS_SQL,
+}
