@@ -127,7 +127,15 @@ def _map(folder: str, name: str, part: str, kind: type) -> np.ndarray:
         return np.frombuffer(body.read(), kind)
 
 
-_WORD_PARTS = {"key": np.uint64, "count": np.int64, "total": np.int64, "n1": np.uint32, "n2": np.uint32, "n3": np.uint32, "cont": np.uint32}
+_WORD_PARTS = ("count", "total", "n1", "n2", "n3", "cont")
+
+
+def _save_counts(folder: str, name: str, key: np.ndarray, **counts: np.ndarray) -> None:
+    """Sorted keys, and for each column of counts a byte a key with the large ones apart."""
+    arrays = {"key": key}
+    for part, values in counts.items():
+        arrays |= {f"{part}_{k}": v for k, v in _small(values).items()}
+    _save(folder, name, **arrays)
 
 
 @dataclass
@@ -153,7 +161,14 @@ class Model:
             held[name, part] = _map(self.folder, name, part, kind)
         return held[name, part]
 
-    def _find(self, table: str, keys: np.ndarray, shard: np.ndarray, parts: dict[str, type]) -> dict[str, np.ndarray]:
+    def _counts(self, name: str, part: str, at: np.ndarray) -> np.ndarray:
+        counts = self._array(name, f"{part}_n", np.uint8)[at].astype(np.int64)
+        large = np.flatnonzero(counts == 255)
+        if len(large):
+            counts[large] = self._array(name, f"{part}_over", np.int64)[np.searchsorted(self._array(name, f"{part}_at", np.uint32), at[large])]
+        return counts
+
+    def _find(self, table: str, keys: np.ndarray, shard: np.ndarray, parts: tuple[str, ...]) -> dict[str, np.ndarray]:
         """Values of sorted keys' entries, 0 where there is none."""
         out = {p: np.zeros(len(keys), np.int64) for p in parts}
         order = np.argsort(shard, kind="stable")
@@ -166,8 +181,8 @@ class Model:
             at = np.searchsorted(stored, keys[rows])
             at[at == len(stored)] = 0
             hit = stored[at] == keys[rows]
-            for p, kind in parts.items():
-                out[p][rows[hit]] = self._array(f"{table}-{s}", p, kind)[at[hit]]
+            for p in parts:
+                out[p][rows[hit]] = self._counts(f"{table}-{s}", p, at[hit])
         return out
 
     def score_block(self, block: TextBlock) -> dict[str, np.ndarray]:
@@ -175,10 +190,10 @@ class Model:
         before = contexts(token, first)
         pair = chain([before, token])
         words, word_at = np.unique(np.concatenate([token, before]), return_inverse=True)
-        found = self._find("words", words, word_shard(words, self.shards), {k: v for k, v in _WORD_PARTS.items() if k != "key"})
+        found = self._find("words", words, word_shard(words, self.shards), _WORD_PARTS)
         w, v = word_at[: len(token)], word_at[len(token) :]
         pairs, sample, pair_at = np.unique(pair, return_index=True, return_inverse=True)
-        counts = self._find("pairs", pairs, pair_shard(before[sample], token[sample], self.hot, self.shards), {"count": np.int64})["count"][pair_at]
+        counts = self._find("pairs", pairs, pair_shard(before[sample], token[sample], self.hot, self.shards), ("count",))["count"][pair_at]
         cont = found["cont"].astype(float)
         uniform = 1.0 / (self.words + 1)
         if self.cont_total:
@@ -276,7 +291,7 @@ def _merge_pairs(rows: DataFrame, folder: str, shards: int) -> DataFrame:
         h = h[order]
         heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         v, w, n = v[order][heads], w[order][heads], np.add.reduceat(n[order], heads)
-        _save(folder, f"pairs-{shard}", key=h[heads], count=n)
+        _save_counts(folder, f"pairs-{shard}", h[heads], count=n)
         first, total, n1, n2, n3 = _summed(v, n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n >= 3).astype(np.int64))
         second, cont = _summed(w, np.ones(len(w), np.int64))
         out = list(messages(word_shard(first, shards), "first", shards, lambda at: packed(key=first[at], total=total[at], n1=n1[at].astype(np.uint32), n2=n2[at].astype(np.uint32), n3=n3[at].astype(np.uint32))))
@@ -305,7 +320,7 @@ def _merge_words(rows: DataFrame, folder: str) -> DataFrame:
             else:
                 parts.append((m["key"], zero, *(m[k].astype(np.int64) for k in ("total", "n1", "n2", "n3")), zero))
         key, *values = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-        _save(folder, f"words-{shard}", **{p: x.astype(t) for (p, t), x in zip(_WORD_PARTS.items(), [key, *values], strict=True)})
+        _save_counts(folder, f"words-{shard}", key, **dict(zip(_WORD_PARTS, values, strict=True)))
         cont = values[-1]
         by = np.bincount(np.minimum(cont, 5), minlength=6)[1:5].tolist()
         row = [int(values[0].sum()), int((values[0] > 0).sum()), int(cont.sum()), *by, int((cont >= 3).sum())]
@@ -335,32 +350,42 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Model:
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))).first()[0] or 0
     shards = max(8, -(-size // shard_bytes))
     folder = fresh_path(spark, "bigrams")
-    word_rows = _word_messages(docs, shards).checkpoint()
+    word_rows = _merged_words(_word_messages(docs, shards)).checkpoint()
     hot = np.sort(np.append(_hot_words(word_rows), BEGIN))
     merged = _merge_pairs(_pair_messages(docs, shards, hot), folder, shards).checkpoint()
     pair_sums = np.zeros(4, np.int64)
     for r in merged.where("kind = 'sums'").select("body").toLocalIterator():
         pair_sums += unpacked(r.body)["sums"]
-    rows = _merge_words(word_rows.unionByName(merged.where("shard >= 0")), folder)
+    rows = _merge_words(word_rows.where("kind = 'count'").unionByName(merged.where("shard >= 0")), folder)
     s = rows.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in _SUMS]).first()
     d = discounts(np.array([s.c1, s.c2, s.c3, s.c4]))
     free = (d[1] * s.c1 + d[2] * s.c2 + d[3] * s.c3_more) / s.cont if s.cont else 1.0
     return Model(folder, shards, hot, s.tokens, s.words, discounts(pair_sums), d, s.cont, float(free))
 
 
-def _hot_words(word_rows: DataFrame) -> np.ndarray:
-    """Words with a ``HOT_PART``-th of all tokens or more; there are at most that many."""
+def _merged_words(rows: DataFrame) -> DataFrame:
+    """One message of word counts per shard, and one of its total and most frequent words."""
 
-    def totals(group: pa.Table) -> pa.Table:
+    def merge(group: pa.Table) -> pa.Table:
         parts = [unpacked(b.as_py()) for b in group.column("body")]
         key, n = _summed(np.concatenate([m["key"] for m in parts]), np.concatenate([_large(m) for m in parts]))
         top = np.argsort(-n, kind="stable")[:HOT_PART]
-        return pa.table({"key": pa.array(key[top].view(np.int64), pa.int64()), "n": pa.array(n[top], pa.int64()), "sum": pa.array([int(n.sum())] + [0] * (len(top) - 1), pa.int64())})
+        shard = group.column("shard")[0].as_py()
+        bodies = [packed(key=key, **_small(n)), packed(key=key[top], n=n[top], total=np.array([n.sum()]))]
+        return pa.table({"shard": pa.array([shard] * 2, pa.int64()), "kind": pa.array(["count", "top"]), "body": pa.array(bodies, pa.binary())})
+
+    return rows.groupBy("shard").applyInArrow(merge, MESSAGE)
 
-    found = word_rows.groupBy("shard").applyInArrow(totals, "key bigint, n bigint, sum bigint")
-    top = found.orderBy(F.desc("n"), "key").limit(HOT_PART).collect()
-    total = found.agg(F.sum("sum")).first()[0] or 0
-    return np.array([r.key for r in top if r.n * HOT_PART >= total], np.int64).view(np.uint64)
+
+def _hot_words(rows: DataFrame) -> np.ndarray:
+    """Words with a ``HOT_PART``-th of all tokens or more; there are at most that many."""
+    key, n, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+    for r in rows.where("kind = 'top'").select("body").toLocalIterator():
+        m = unpacked(r.body)
+        key, n, total = np.concatenate([key, m["key"]]), np.concatenate([n, m["n"]]), total + int(m["total"][0])
+        best = np.argsort(-n, kind="stable")[:HOT_PART]
+        key, n = key[best], n[best]
+    return key[n * HOT_PART >= total]
 
 
 SCORE_SCHEMA = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
