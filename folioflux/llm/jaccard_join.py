@@ -1,20 +1,23 @@
 """N-gram Jaccard join by T-occurrence search.
 
 Each text is the set of its word shingles.  Equal sets are one class from the start,
-kept once.  Texts that can link must meet in a block: with hashes as the order of
+kept once.  Texts that can link must meet: with hashes as the order of
 shingles, two sets that overlap enough share at least T shingles among the first
-``n - overlap + T`` of each, T a tenth of the set.  Shingles that only one set has there
+``n - overlap + T`` of each, T a quarter of the set.  Shingles that only one set has there
 are dropped, sets with fewer than T left can't link, and of the rest all but T - 1 of
-the rarest lead to a block; by the same argument a linked pair shares one of these.
-
-Within a block an inverted list per shingle holds the sets that have it.  For each set
-the short lists are heap-merged and the L longest are binary-probed (DivideSkip); sets
-that occur T times are compared exactly.
-
-Only classes are asked for, so a pair in one class already needs no comparison.  A
-first round searches one block per set; a second one searches every block that still
-holds sets of different classes.  Blocks beyond ``BLOCK_SETS`` are cut, in the second
-round into all pairs of cuts, so no pair is lost and no task gets an unbounded group.
+the rarest lead on; by the same argument a linked pair shares one of these.
+
+Texts that share such a shingle are linked by a star to the least of them, and the
+components of these stars are families: pairs to be found lie within one.  A family is
+searched in one task by an inverted list per shingle: for each set the short lists are
+heap-merged and the L longest binary-probed (DivideSkip); sets that occur T times are
+compared exactly.  Only classes are asked for, so a pair that is in one class already
+needs no comparison.
+
+Families beyond ``CELL_SETS`` are cut into cells, which are searched first, each with
+the family's least set.  What then is not in the family's largest class asks all cells
+once more, so no pair is lost, no task gets an unbounded group, and a large group of
+near copies costs what its stragglers cost.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflux.llm.components import components
@@ -33,13 +36,15 @@ from folioflux.llm.messages import MESSAGE, messages, packed, unpacked
 from folioflux.llm.rows import LOWER, NON_SPACE, TextBlock, chain, find_words, hash_spans, mix, text_blocks
 
 #: T as a part of the set's size.
-SHARED_PART = 0.1
-BLOCK_SETS = 1500
+SHARED_PART = 0.25
+CELL_SETS = 1500
+#: Ids of sets to be searched that may be sent to every task: 8 MB; more are joined.
+SENT_IDS = 1_000_000
 #: Shingles that a shard of the two routing steps stands for.
 SHARD_SHINGLES = 1_500_000
 #: Weight of probing against merging in DivideSkip's choice of L.
 MU = 0.02
-#: Blocks of more sets are first linked along their order, to leave less to search.
+#: Families of more sets are first linked along their order, to leave less to search.
 CHAIN_FROM = 64
 
 
@@ -151,11 +156,11 @@ class _Classes:
         self.up[max(a, b)] = min(a, b)
 
 
-def search_block(ids: list[int], classes: list[int], keys: list[np.ndarray], sets: list[np.ndarray], percent: int, side: list[int] | None = None) -> list[tuple[int, int]]:
+def search_block(ids: list[int], classes: list[int], keys: list[np.ndarray], sets: list[np.ndarray], percent: int, asks: list[bool] | None = None) -> list[tuple[int, int]]:
     """Links that join the block's classes: enough to join all that are linked.
 
-    ``keys`` are the shingles of each set that count for T.  With ``side``, only pairs
-    on different sides are sought.
+    ``keys`` are the shingles of each set that count for T.  With ``asks``, links of the
+    sets it marks are sought only.
     """
     n = len(ids)
     own, links = _Classes(classes), []
@@ -167,9 +172,10 @@ def search_block(ids: list[int], classes: list[int], keys: list[np.ndarray], set
 
     order = sorted(range(n), key=lambda k: (len(sets[k]), ids[k]))
     if n > CHAIN_FROM:
+        least = min(range(n), key=lambda k: ids[k])
         for a, b in zip(order[:-1], order[1:], strict=True):
             link(a, b)
-            link(order[0], b)
+            link(least, b)
             link(order[n // 2], b)
     tops = [own.top(k) for k in range(n)]
     sizes: dict[int, int] = {}
@@ -178,17 +184,16 @@ def search_block(ids: list[int], classes: list[int], keys: list[np.ndarray], set
     if len(sizes) == 1:
         return links
     # Of two sets of different classes, one is outside the block's largest class.
-    largest = max(sizes, key=lambda c: (sizes[c], -c)) if n > CHAIN_FROM else -1
+    largest = max(sizes, key=lambda c: (sizes[c], -c)) if n > CHAIN_FROM and asks is None else -1
     index: dict[int, list[int]] = {}
     for k in range(n):
         for key in keys[k].tolist():
             index.setdefault(key, []).append(k)
     for a in order:
-        if tops[a] == largest:
+        if tops[a] == largest or (asks is not None and not asks[a]):
             continue
-        found = t_occurrence([index[key] for key in keys[a].tolist()], least_shared(len(sets[a]), percent))
-        for b in found:
-            if b != a and (side is None or side[a] != side[b]):
+        for b in t_occurrence([index[key] for key in keys[a].tolist()], least_shared(len(sets[a]), percent)):
+            if b != a:
                 link(a, b)
     return links
 
@@ -254,13 +259,18 @@ def _common(by_shingle: DataFrame, shards: int) -> DataFrame:
         df = np.repeat(np.diff(np.append(heads, len(key))), np.diff(np.append(heads, len(key))))
         keep = df > 1
         key, rep, n, df = key[keep], rep[keep], n[keep], df[keep]
-        out = list(messages(mix(rep.view(np.uint64)) % np.uint64(shards), "rep", shards, lambda at: packed(key=key[at], rep=rep[at], n=n[at], df=df[at]))) if len(key) else []
+
+        def pack(at: np.ndarray) -> bytes:
+            here, some, local = np.unique(rep[at], return_index=True, return_inverse=True)
+            return packed(key=key[at], owner=local.astype(np.uint32), rep=here, n=n[at][some], df=np.minimum(df[at], (1 << 32) - 1).astype(np.uint32))
+
+        out = list(messages(mix(rep.view(np.uint64)) % np.uint64(shards), "rep", shards, pack)) if len(key) else []
         return pa.Table.from_batches(out, pa.schema([("shard", pa.int64()), ("kind", pa.string()), ("body", pa.binary())]))
 
     return by_shingle.groupBy("shard").applyInArrow(merge, MESSAGE)
 
 
-ROUTE_SCHEMA = "rep bigint, n bigint, keys binary, routes array<bigint>, sizes array<bigint>"
+ROUTE_SCHEMA = "rep bigint, n bigint, keys binary, routes array<bigint>"
 
 
 def _routes(common: DataFrame, percent: int) -> DataFrame:
@@ -268,7 +278,8 @@ def _routes(common: DataFrame, percent: int) -> DataFrame:
 
     def merge(group: pa.Table) -> pa.Table:
         parts = [unpacked(b.as_py()) for b in group.column("body")]
-        key, rep, n, df = (np.concatenate([m[c] for m in parts]) for c in ("key", "rep", "n", "df"))
+        key, df = (np.concatenate([m[c] for m in parts]) for c in ("key", "df"))
+        rep, n = (np.concatenate([m[c][m["owner"]] for m in parts]) for c in ("rep", "n"))
         order = np.lexsort((key, df, rep))
         key, rep, n, df = key[order], rep[order], n[order], df[order]
         heads = np.append(np.flatnonzero(np.concatenate([[True], rep[1:] != rep[:-1]])), len(rep))
@@ -277,51 +288,59 @@ def _routes(common: DataFrame, percent: int) -> DataFrame:
             t = least_shared(int(n[a]), percent)
             if b - a >= t:
                 routes = slice(a, b - t + 1)
-                rows.append((int(rep[a]), int(n[a]), key[a:b].tobytes(), key[routes].view(np.int64).tolist(), df[routes].tolist()))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                rows.append((int(rep[a]), int(n[a]), key[a:b].tobytes(), key[routes].view(np.int64).tolist()))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
         return pa.table({f.split()[0]: pa.array(list(c), t) for f, c, t in zip(ROUTE_SCHEMA.split(", "), columns, kinds, strict=True)})
 
     return common.groupBy("shard").applyInArrow(merge, ROUTE_SCHEMA)
 
 
-# --- blocks ------------------------------------------------------------------------
-def _search(blocks: DataFrame, group_by: list[str], percent: int) -> DataFrame:
+# --- families ----------------------------------------------------------------------
+def _families(routes: DataFrame) -> DataFrame:
+    """(rep, family, cells) of every set that shares a route with another."""
+    routed = routes.select("rep", F.explode("routes").alias("route"))
+    least = routed.groupBy("route").agg(F.min("rep").alias("low"))
+    edges = routed.join(least, "route").where("rep <> low").select(F.col("low").alias("u"), F.col("rep").alias("v"))
+    family = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("family"))
+    sizes = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / CELL_SETS).cast("bigint").alias("cells"))
+    return family.join(sizes, "family")
+
+
+def _search(blocks: DataFrame, percent: int) -> DataFrame:
+    """Search each (family, cell, other); ``asks`` marks the sets that ask, null: all do."""
+
     def work(group: pa.Table) -> pa.Table:
-        group = group.sort_by("rep")
-        ids, side = group.column("rep").to_pylist(), group.column("side").to_pylist()
-        keys, sets = ([np.frombuffer(b.as_py(), np.uint64) for b in group.column(c)] for c in ("keys", "shingles"))
-        links = search_block(ids, group.column("class").to_pylist(), keys, sets, percent, None if len(set(side)) == 1 else side)
+        rows = sorted(group.select(["rep", "class", "asks", "keys", "shingles"]).to_pylist(), key=lambda r: (r["rep"], not r["asks"]))
+        rows = [r for n, r in enumerate(rows) if not n or rows[n - 1]["rep"] != r["rep"]]
+        keys, sets = ([np.frombuffer(r[c], np.uint64) for r in rows] for c in ("keys", "shingles"))
+        asks = None if rows[0]["asks"] is None else [r["asks"] for r in rows]
+        links = search_block([r["rep"] for r in rows], [r["class"] for r in rows], keys, sets, percent, asks)
         return pa.table({"u": pa.array([a for a, _ in links], pa.int64()), "v": pa.array([b for _, b in links], pa.int64())})
 
-    return blocks.groupBy(*group_by).applyInArrow(work, "u bigint, v bigint")
+    return blocks.groupBy("family", "cell", "other").applyInArrow(work, "u bigint, v bigint")
 
 
-def _cut(rep: str, cuts: str) -> Column:
-    return F.pmod(F.xxhash64(rep), F.col(cuts))
+def _first_search(sets: DataFrame, percent: int) -> DataFrame:
+    cell = F.pmod(F.xxhash64("rep"), F.col("cells"))
+    # The family's least set goes to all cells, all others to one.
+    cells = F.when(F.col("rep") == F.col("family"), F.sequence(F.lit(0).cast("bigint"), F.col("cells") - 1)).otherwise(F.array(cell))
+    placed = sets.select("rep", "family", "keys", "shingles", F.col("rep").alias("class"), F.lit(None).cast("boolean").alias("asks"), F.explode(cells).alias("cell"), F.lit(-1).cast("bigint").alias("other"))
+    return _search(placed, percent)
 
 
-def _open_blocks(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """Blocks that hold sets of more than one class, in cuts paired with one another.
-
-    Of blocks with equal members one is kept.
-    """
-    routed = sets.select("rep", F.explode("routes").alias("route")).join(classes, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
-    stats = routed.groupBy("route").agg(
-        F.count(F.lit(1)).alias("members"),
-        F.min("class").alias("low"),
-        F.max("class").alias("high"),
-        F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s1"),
-        F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(38,0)")).alias("s2"),
-    )
-    mixed = stats.where("low <> high").groupBy("members", "s1", "s2").agg(F.min("route").alias("route"))
-    mixed = mixed.select("route", F.ceil(F.col("members") / BLOCK_SETS).cast("bigint").alias("cuts"))
-    member = routed.join(mixed, "route").withColumn("cut", _cut("rep", "cuts"))
-    # Cut i meets every cut j; the pair (i, j) is one block with i <= j.
-    paired = member.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1)))
-    low, high = F.least("cut", "other"), F.greatest("cut", "other")
-    placed = paired.select("route", low.alias("i"), high.alias("j"), "rep", "class", F.when(F.col("cut") == F.col("other"), F.lit(-1)).otherwise(F.col("cut")).alias("side"))
-    return placed.join(sets.select("rep", "keys", "shingles"), "rep")
+def _second_search(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Of families in several cells, the sets outside the largest class ask all cells."""
+    slim = sets.where("cells > 1").select("rep", "family").join(classes, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+    sizes = slim.groupBy("family", "class").agg(F.count(F.lit(1)).alias("n"))
+    top = sizes.groupBy("family").agg(F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    half = F.lit(CELL_SETS / 2)
+    plan = top.select("family", F.col("top.class").alias("largest"), F.ceil(F.col("members") / half).cast("bigint").alias("all"), F.ceil((F.col("members") - F.col("top.n")) / half).cast("bigint").alias("few"))
+    member = slim.join(plan, "family")
+    every = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
+    askers = member.where("class <> largest").select("family", "rep", "class", F.lit(True).alias("asks"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("few")).alias("cell"), F.explode(every("all")).alias("other"))
+    asked = member.select("family", "rep", "class", F.lit(False).alias("asks"), F.explode(every("few")).alias("cell"), F.pmod(F.xxhash64("rep"), F.col("all")).alias("other"))
+    return _search(askers.unionByName(asked).join(sets.select("rep", "keys", "shingles"), "rep"), percent)
 
 
 def jaccard_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
@@ -333,24 +352,29 @@ def jaccard_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     have no class where none of these has a doc_id.  Repeated rows are equal sets.
     An empty table gives an empty one.
     """
-    found = _sets(docs, words, percent, early=True)
-    reps = found.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("early").alias("early"), F.count(F.lit(1)).alias("copies")).checkpoint()
-    total = reps.agg(F.sum(F.octet_length("early").cast("long"))).first()[0] or 0
-    shards = max(8, -(-total // 8 // SHARD_SHINGLES))
-    routes = _routes(_common(_by_shingle(reps, shards), shards), percent).checkpoint()
+    fingerprint = ["f1", "f2", "n"]
+    with_id = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    reps = _sets(docs, words, percent, early=False).where(with_id).groupBy(*fingerprint).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).checkpoint()
+    total = reps.agg(F.sum("n")).first()[0] or 0
+    shards = max(8, -(-int(total * (1 - percent / 100 + SHARED_PART)) // SHARD_SHINGLES))
+    early = _sets(docs, words, percent, early=True).where(with_id).groupBy(*fingerprint).agg(F.min("doc_id").alias("rep"), F.first("early").alias("early"))
+    routes = _routes(_common(_by_shingle(early, shards), shards), percent).checkpoint()
+    family = _families(routes).checkpoint()
     # The few sets left come from their texts again, which costs less than moving all.
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(routes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    whole = _sets(texts, words, percent, early=False, whole=True).select("f1", "f2", "n", F.col("early").alias("shingles"))
-    rep_of = reps.select("f1", "f2", "n", "rep").join(routes.drop("n"), "rep")
-    sets = whole.join(rep_of, ["f1", "f2", "n"]).dropDuplicates(["rep"]).select("rep", "keys", "routes", "sizes", "shingles").checkpoint()
-    first = sets.select("rep", "keys", "shingles", F.col("routes")[0].alias("route"), F.col("rep").alias("class"), F.lit(-1).cast("bigint").alias("side"), F.ceil(F.col("sizes")[0] / BLOCK_SETS).cast("bigint").alias("cuts"))
-    one = _search(first.withColumn("cut", _cut("rep", "cuts")).drop("cuts"), ["route", "cut"], percent).checkpoint()
-    classes = components(one).select(F.col("node").alias("rep"), F.col("component").alias("class"))
-    two = _search(_open_blocks(sets, classes), ["route", "i", "j"], percent)
-    final = components(one.unionByName(two)).select(F.col("node").alias("rep"), F.col("component"))
-    of_set = reps.select("f1", "f2", "n", "rep", "copies").join(final, "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"), "copies")
+    wanted = family.select(F.col("rep").alias("doc_id"))
+    few = family.count() <= SENT_IDS
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+    whole = _sets(texts, words, percent, early=False, whole=True).select(*fingerprint, F.col("early").alias("shingles"))
+    of_rep = reps.select(*fingerprint, "rep").join(routes.select("rep", "keys"), "rep").join(family, "rep")
+    sets = whole.join(of_rep, fingerprint).dropDuplicates(["rep"]).select("rep", "keys", "shingles", "family", "cells").checkpoint()
+    links = _first_search(sets, percent).checkpoint()
+    if not sets.where("cells > 1").isEmpty():
+        classes = components(links).select(F.col("node").alias("rep"), F.col("component").alias("class"))
+        links = links.unionByName(_second_search(sets, classes, percent))
+    final = components(links).select(F.col("node").alias("rep"), F.col("component"))
+    of_set = reps.join(final, "rep", "left").select(*fingerprint, F.coalesce("component", "rep").alias("component"), "copies")
     members = _sets(docs, words, percent, early=False).drop("early")
-    return members.join(of_set, ["f1", "f2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    return members.join(of_set, fingerprint, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
 def keep_one_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

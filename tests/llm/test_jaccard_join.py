@@ -73,8 +73,9 @@ def test_against_brute_force(spark, seed, words, percent):
     assert run(spark, docs, words, percent) == brute(docs, words, percent)
 
 
-def test_cut_blocks(spark, monkeypatch):
-    monkeypatch.setattr(J, "BLOCK_SETS", 3)
+def test_cut_families(spark, monkeypatch):
+    monkeypatch.setattr(J, "CELL_SETS", 3)
+    monkeypatch.setattr(J, "SENT_IDS", 5)
     monkeypatch.setattr(J, "CHAIN_FROM", 2)
     docs = corpus(4)
     assert run(spark, docs, 3, 80) == brute(docs, 3, 80)
