@@ -11,6 +11,7 @@ from folioflux.llm.gif import op10_media
 from folioflux.llm.jaccard_join import op1_classes
 from folioflux.llm.language_id import op3_languages
 from folioflux.llm.ngram_lm import op2_scores
+from folioflux.llm.oracles import DECONTAMINATION, NGRAM_JACCARD
 from folioflux.llm.packing import op9_pieces
 from folioflux.llm.quality import op8_scores
 from folioflux.llm.sharding import op6_shards
@@ -81,5 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard": NGRAM_JACCARD,
     "op5_warc_revisits": REVISITS_SQL,
+    "op7_decontamination": DECONTAMINATION,
 }
