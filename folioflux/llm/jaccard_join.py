@@ -199,7 +199,7 @@ def search_block(ids: list[int], classes: list[int], keys: list[np.ndarray], set
 
 
 # --- routing -----------------------------------------------------------------------
-SET_SCHEMA = "doc_id bigint, n bigint, f1 bigint, f2 bigint, early binary"
+SET_SCHEMA = "doc_id bigint, n bigint, f1 bigint, f2 bigint, shingles binary"
 
 
 def _fingerprint(own: np.ndarray) -> tuple[int, int]:
@@ -207,90 +207,103 @@ def _fingerprint(own: np.ndarray) -> tuple[int, int]:
     return tuple(np.array([a.sum(dtype=np.uint64), b.sum(dtype=np.uint64)], np.uint64).view(np.int64).tolist())
 
 
-def _sets(docs: DataFrame, words: int, percent: int, early: bool, whole: bool = False) -> DataFrame:
-    """Size and fingerprint of each text's set; its first shingles, or all, on demand."""
+def _sets(docs: DataFrame, words: int, whole: bool = False) -> DataFrame:
+    """Size and fingerprint of each text's set, and on demand the set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches):
-            ns, f1, f2, first = [], [], [], []
-            for own in shingle_sets(block, words):
-                n = len(own)
-                a, b = _fingerprint(own)
-                ns.append(n)
-                f1.append(a)
-                f2.append(b)
-                take = n if whole else (min(n, n - least_overlap(n, percent) + shared(n, percent)) if early else 0)
-                first.append(own[:take].tobytes())
-            yield pa.RecordBatch.from_arrays([block.ids, pa.array(ns, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(first, pa.binary())], names=["doc_id", "n", "f1", "f2", "early"])
+            sets = shingle_sets(block, words)
+            marks = [_fingerprint(own) for own in sets]
+            columns = [[len(own) for own in sets], [a for a, _ in marks], [b for _, b in marks]]
+            bodies = pa.array([own.tobytes() if whole else None for own in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([block.ids, *(pa.array(c, pa.int64()) for c in columns), bodies], names=["doc_id", "n", "f1", "f2", "shingles"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, SET_SCHEMA)
 
 
-def _by_shingle(reps: DataFrame, shards: int) -> DataFrame:
+def _own_sets(block: TextBlock, words: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The block's different sets, and a row (f1, f2, n) for each."""
+    seen: dict[tuple[int, int, int], np.ndarray] = {}
+    for own in shingle_sets(block, words):
+        if len(own):
+            seen.setdefault((*_fingerprint(own), len(own)), own)
+    return list(seen.values()), np.array(list(seen), np.int64).reshape(-1, 3)
+
+
+def _by_shingle(docs: DataFrame, words: int, percent: int, shards: int) -> DataFrame:
+    """The first shingles of each block's different sets, by shingle."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            early = [np.frombuffer(b.as_py(), np.uint64) for b in batch.column("early")]
-            size = np.fromiter(map(len, early), np.int64, len(early))
-            if not size.sum():
+        for block in text_blocks(batches, "text"):
+            sets, marks = _own_sets(block, words)
+            if not sets:
                 continue
-            key, owner = np.concatenate(early), np.repeat(np.arange(len(early)), size)
-            rep, n = np.asarray(batch.column("rep")), np.asarray(batch.column("n"))
+            early = [own[: min(len(own), len(own) - least_overlap(len(own), percent) + shared(len(own), percent))] for own in sets]
+            key, owner = np.concatenate(early), np.repeat(np.arange(len(early)), [len(e) for e in early])
 
-            def pack(at: np.ndarray) -> bytes:
+            def pack(at: np.ndarray, key: np.ndarray = key, owner: np.ndarray = owner, marks: np.ndarray = marks) -> bytes:
                 here, local = np.unique(owner[at], return_inverse=True)
-                return packed(key=key[at], owner=local.astype(np.uint32), rep=rep[here], n=n[here])
+                return packed(key=key[at], owner=local.astype(np.uint16 if len(here) < 1 << 16 else np.uint32), marks=marks[here])
 
             yield from messages((key >> np.uint64(7)) % np.uint64(shards), "key", shards, pack)
 
-    return reps.select("rep", "n", "early").mapInArrow(work, MESSAGE)
+    return docs.where("doc_id is not null").select(F.col("text").cast("string").alias("text")).mapInArrow(work, MESSAGE)
+
+
+def _gathered(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[dict[str, np.ndarray]]]:
+    """Keys of all messages, their owners as numbers, and the owners' marks."""
+    parts = [unpacked(b.as_py()) for b in group.column("body")]
+    sizes = np.array([len(m["marks"]) for m in parts])
+    marks, number = np.unique(np.concatenate([m["marks"] for m in parts]), axis=0, return_inverse=True)
+    number, base = number.reshape(-1), np.cumsum(sizes) - sizes
+    owner = np.concatenate([number[b + m["owner"].astype(np.int64)] for m, b in zip(parts, base, strict=True)])
+    return np.concatenate([m["key"] for m in parts]), owner, marks, parts
 
 
 def _common(by_shingle: DataFrame, shards: int) -> DataFrame:
     """Shingles that two or more sets have, sent back by set."""
 
     def merge(group: pa.Table) -> pa.Table:
-        parts = [unpacked(b.as_py()) for b in group.column("body")]
-        key = np.concatenate([m["key"] for m in parts])
-        rep = np.concatenate([m["rep"][m["owner"]] for m in parts])
-        n = np.concatenate([m["n"][m["owner"]] for m in parts])
-        order = np.argsort(key, kind="stable")
-        key, rep, n = key[order], rep[order], n[order]
-        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        df = np.repeat(np.diff(np.append(heads, len(key))), np.diff(np.append(heads, len(key))))
+        key, owner, marks, _ = _gathered(group)
+        order = np.lexsort((owner, key))
+        key, owner = key[order], owner[order]
+        fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])
+        key, owner = key[fresh], owner[fresh]  # copies of a set in other blocks count once
+        heads = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
+        df = np.repeat(np.diff(heads), np.diff(heads))
         keep = df > 1
-        key, rep, n, df = key[keep], rep[keep], n[keep], df[keep]
+        key, owner, df = key[keep], owner[keep], np.minimum(df[keep], (1 << 32) - 1).astype(np.uint32)
 
         def pack(at: np.ndarray) -> bytes:
-            here, some, local = np.unique(rep[at], return_index=True, return_inverse=True)
-            return packed(key=key[at], owner=local.astype(np.uint32), rep=here, n=n[at][some], df=np.minimum(df[at], (1 << 32) - 1).astype(np.uint32))
+            here, local = np.unique(owner[at], return_inverse=True)
+            return packed(key=key[at], owner=local.astype(np.uint32), df=df[at], marks=marks[here])
 
-        out = list(messages(mix(rep.view(np.uint64)) % np.uint64(shards), "rep", shards, pack)) if len(key) else []
+        out = list(messages(mix(marks[owner, 0].view(np.uint64)) % np.uint64(shards), "set", shards, pack)) if len(key) else []
         return pa.Table.from_batches(out, pa.schema([("shard", pa.int64()), ("kind", pa.string()), ("body", pa.binary())]))
 
     return by_shingle.groupBy("shard").applyInArrow(merge, MESSAGE)
 
 
-ROUTE_SCHEMA = "rep bigint, n bigint, keys binary, routes array<bigint>"
+ROUTE_SCHEMA = "f1 bigint, f2 bigint, n bigint, keys binary, routes array<bigint>"
 
 
 def _routes(common: DataFrame, percent: int) -> DataFrame:
     """Sets with T common shingles or more: these, and the rarest of them as routes."""
 
     def merge(group: pa.Table) -> pa.Table:
-        parts = [unpacked(b.as_py()) for b in group.column("body")]
-        key, df = (np.concatenate([m[c] for m in parts]) for c in ("key", "df"))
-        rep, n = (np.concatenate([m[c][m["owner"]] for m in parts]) for c in ("rep", "n"))
-        order = np.lexsort((key, df, rep))
-        key, rep, n, df = key[order], rep[order], n[order], df[order]
-        heads = np.append(np.flatnonzero(np.concatenate([[True], rep[1:] != rep[:-1]])), len(rep))
+        key, owner, marks, parts = _gathered(group)
+        df = np.concatenate([m["df"] for m in parts])
+        order = np.lexsort((key, df, owner))
+        key, owner = key[order], owner[order]
+        heads = np.append(np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])), len(owner))
         rows = []
         for a, b in zip(heads[:-1], heads[1:], strict=True):
-            t = least_shared(int(n[a]), percent)
+            f1, f2, n = marks[owner[a]].tolist()
+            t = least_shared(n, percent)
             if b - a >= t:
-                routes = slice(a, b - t + 1)
-                rows.append((int(rep[a]), int(n[a]), key[a:b].tobytes(), key[routes].view(np.int64).tolist()))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+                rows.append((f1, f2, n, key[a:b].tobytes(), key[a : b - t + 1].view(np.int64).tolist()))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
         return pa.table({f.split()[0]: pa.array(list(c), t) for f, c, t in zip(ROUTE_SCHEMA.split(", "), columns, kinds, strict=True)})
 
     return common.groupBy("shard").applyInArrow(merge, ROUTE_SCHEMA)
@@ -353,19 +366,18 @@ def jaccard_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     An empty table gives an empty one.
     """
     fingerprint = ["f1", "f2", "n"]
-    with_id = F.col("doc_id").isNotNull() & (F.col("n") > 0)
-    reps = _sets(docs, words, percent, early=False).where(with_id).groupBy(*fingerprint).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).checkpoint()
+    reps = _sets(docs, words).where("n > 0 and doc_id is not null").groupBy(*fingerprint).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).checkpoint()
     total = reps.agg(F.sum("n")).first()[0] or 0
     shards = max(8, -(-int(total * (1 - percent / 100 + SHARED_PART)) // SHARD_SHINGLES))
-    early = _sets(docs, words, percent, early=True).where(with_id).groupBy(*fingerprint).agg(F.min("doc_id").alias("rep"), F.first("early").alias("early"))
-    routes = _routes(_common(_by_shingle(early, shards), shards), percent).checkpoint()
+    found = _routes(_common(_by_shingle(docs, words, percent, shards), shards), percent)
+    routes = found.join(reps.drop("copies"), fingerprint).checkpoint()
     family = _families(routes).checkpoint()
     # The few sets left come from their texts again, which costs less than moving all.
     wanted = family.select(F.col("rep").alias("doc_id"))
     few = family.count() <= SENT_IDS
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    whole = _sets(texts, words, percent, early=False, whole=True).select(*fingerprint, F.col("early").alias("shingles"))
-    of_rep = reps.select(*fingerprint, "rep").join(routes.select("rep", "keys"), "rep").join(family, "rep")
+    whole = _sets(texts, words, whole=True).select(*fingerprint, "shingles")
+    of_rep = routes.select(*fingerprint, "rep", "keys").join(family, "rep")
     sets = whole.join(of_rep, fingerprint).dropDuplicates(["rep"]).select("rep", "keys", "shingles", "family", "cells").checkpoint()
     links = _first_search(sets, percent).checkpoint()
     if not sets.where("cells > 1").isEmpty():
@@ -373,7 +385,7 @@ def jaccard_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
         links = links.unionByName(_second_search(sets, classes, percent))
     final = components(links).select(F.col("node").alias("rep"), F.col("component"))
     of_set = reps.join(final, "rep", "left").select(*fingerprint, F.coalesce("component", "rep").alias("component"), "copies")
-    members = _sets(docs, words, percent, early=False).drop("early")
+    members = _sets(docs, words).drop("shingles")
     return members.join(of_set, fingerprint, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
