@@ -93,7 +93,7 @@ def exclusion_codes(df: DataFrame, lex: Lexicons, primary_types: Sequence[str],
         ("ambiguous_keyword_without_climate_mechanism", e("pollutant") & ~e("mechanism")),
         ("methods_only_without_substantive_climate_finding", e("methods") & ~climate_finding(ev, lex)),
         ("social_science_without_natural_science_finding", e("social") & ~e("natural")),
-        ("no_evidence_of_hot_science_fit", ~e("climate")),
+        ("no_evidence_of_scope_fit", ~e("climate")),
         ("no_supported_climate_impact_domain", F.size(tags) == 0),
         ("run_focus_mismatch", ~F.arrays_overlap(tags, F.array(*[F.lit(f) for f in focus])) if focus else F.lit(False)),
         ("solutions_paper", t("solutions")),

@@ -56,7 +56,7 @@ def _codes_sql() -> str:
         ("ambiguous_keyword_without_climate_mechanism", f"{_S('pollutant')} AND NOT {_S('mechanism')}"),
         ("methods_only_without_substantive_climate_finding", f"{_S('methods')} AND NOT {_FINDING}"),
         ("social_science_without_natural_science_finding", f"{_S('social')} AND NOT {_S('natural')}"),
-        ("no_evidence_of_hot_science_fit", f"NOT {_S('climate')}"),
+        ("no_evidence_of_scope_fit", f"NOT {_S('climate')}"),
         ("no_supported_climate_impact_domain", "NOT (" + " OR ".join(tag(list(x)) for _, x in [*LEX.domains, *LEX.fallback_topics]) + ")"),
         ("solutions_paper", _S("solutions")),
         ("ex_situ_lab", f"{_S('lab')} AND NOT {_S('in_situ')}"),
