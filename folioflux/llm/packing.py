@@ -23,7 +23,9 @@ from folioflux.llm.rows import LOWER, TextBlock, hash_spans, text_blocks
 MAX_LEN = 4096
 END_ID = 2
 #: Distinct words whose ids a worker keeps; beyond it the store starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
+#: Text bytes tokenised at once: each unit takes some hundred bytes meanwhile.
+PACK_BYTES = 1 << 20
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -166,7 +168,7 @@ def cut_documents(docs: DataFrame, max_len: int = MAX_LEN, with_ids: bool = Fals
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(vocabulary_path(vocabulary))
         end = np.array([END_ID], "<u4")
-        for block in text_blocks(batches):
+        for block in text_blocks(batches, limit=PACK_BYTES):
             ids, first = tokenizer.encode(block)
             rows: list[tuple] = []
             pieces: list[np.ndarray] = []

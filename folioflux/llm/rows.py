@@ -7,6 +7,7 @@ text, never on the number of rows of a partition.
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,8 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+_libc = ctypes.CDLL(None)
+
 #: Text bytes handled at once.  One longer text makes a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 @dataclass
@@ -60,6 +63,14 @@ def text_blocks(batches: Iterator[pa.RecordBatch], id_col: str = "doc_id", text_
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(block_of)) + 1, [len(sizes)]])
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             yield _one_block(ids.slice(lo, hi - lo), text.slice(lo, hi - lo))
+        _give_back()
+
+
+def _give_back() -> None:
+    """Workers live on between tasks: what a batch has freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_libc, "malloc_trim", None):
+        trim(0)
 
 
 def append_score(docs: DataFrame, scorer: Broadcast, name: str, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
