@@ -11,13 +11,16 @@ Texts that share such a shingle are linked by a star to the least of them, and t
 components of these stars are families: pairs to be found lie within one.  A family is
 searched in one task by an inverted list per shingle: for each set the short lists are
 heap-merged and the L longest binary-probed (DivideSkip); sets that occur T times are
-compared exactly.  Only classes are asked for, so a pair that is in one class already
-needs no comparison.
+compared exactly.
 
-Families beyond ``CELL_SETS`` are cut into cells, which are searched first, each with
-the family's least set.  What then is not in the family's largest class asks all cells
-once more, so no pair is lost, no task gets an unbounded group, and a large group of
-near copies costs what its stragglers cost.
+Families beyond ``CELL_SETS`` are cut into cells, and each pair of cells is one task: no
+pair is lost, and no task gets an unbounded group.  Every set asks and every candidate is
+compared, so links are counted in full; a task returns a count for each set and as many
+links as join its classes.
+
+Where classes are asked for without counts (``keep_one_each``), a pair that is in one
+class already isn't compared: cells are searched first, each with the family's least set;
+what then is not in the family's largest class asks all cells once more.
 """
 
 from __future__ import annotations
@@ -140,6 +143,24 @@ def _bisect(values: list[int], wanted: int) -> int:
     return lo
 
 
+def t_occurrence_of_arrays(lists: list[np.ndarray], t: int) -> np.ndarray:
+    """``t_occurrence`` over arrays: sorting the short ones, run by run, merges them."""
+    lists = sorted((x for x in lists if len(x)), key=len)
+    if len(lists) < t:
+        return np.zeros(0, np.int64)
+    n_long = min(t - 1, int(t / (MU * math.log2(len(lists[-1]) + 1) + 1)))
+    merged = np.concatenate(lists[: len(lists) - n_long])
+    merged.sort(kind="stable")
+    heads = np.append(np.flatnonzero(np.concatenate([[True], merged[1:] != merged[:-1]])), len(merged))
+    number, seen = merged[heads[:-1]], np.diff(heads)
+    for left, probe in zip(range(n_long, 0, -1), lists[len(lists) - n_long :], strict=True):
+        live = seen + left >= t
+        number, seen = number[live], seen[live]
+        at = np.minimum(np.searchsorted(probe, number), len(probe) - 1)
+        seen += probe[at] == number
+    return number[seen >= t]
+
+
 class _Classes:
     def __init__(self, start: list[int]):
         first: dict[int, int] = {}
@@ -198,6 +219,50 @@ def search_block(ids: list[int], classes: list[int], keys: list[np.ndarray], set
     return links
 
 
+def _numbered(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all arrays as numbers from 0, and where each array begins."""
+    first = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int64)
+    return np.unique(np.concatenate(arrays), return_inverse=True)[1].reshape(-1), first
+
+
+def join_block(ids: list[int], keys: list[np.ndarray], sets: list[np.ndarray], percent: int, asks: list[bool] | None = None) -> tuple[list[int], list[tuple[int, int]]]:
+    """The number of links of each set, and links enough to join all that are linked.
+
+    With ``asks``, links between a set it marks and one it doesn't are sought only.
+    """
+    n = len(ids)
+    key, key_first = _numbered(keys)
+    owner = np.repeat(np.arange(n), np.diff(key_first)).astype(np.uint16 if n < 1 << 16 else np.uint32)
+    asked = np.ones(len(key), bool) if asks is None else ~np.array(asks)[owner]
+    order = np.argsort(key[asked], kind="stable")
+    lists, at = owner[asked][order], np.searchsorted(key[asked][order], np.arange(key.max(initial=-1) + 2))
+    shingle, first = _numbered(sets)
+    sizes, own = np.diff(first), np.zeros(shingle.max(initial=-1) + 1, bool)
+    counts, classes, links = np.zeros(n, np.int64), np.arange(n), []
+    for a in range(n):
+        if asks is not None and not asks[a]:
+            continue
+        near = t_occurrence_of_arrays([lists[at[k] : at[k + 1]] for k in key[key_first[a] : key_first[a + 1]].tolist()], least_shared(len(sets[a]), percent)).astype(np.int64)
+        if asks is None:
+            near = near[near < a]
+        if not len(near):
+            continue
+        mine = shingle[first[a] : first[a + 1]]
+        own[mine] = True
+        ends = np.cumsum(sizes[near])
+        spots = np.arange(ends[-1]) + np.repeat(first[near] - (ends - sizes[near]), sizes[near])
+        same = np.add.reduceat(own[shingle[spots]], ends - sizes[near], dtype=np.int64)
+        own[mine] = False
+        near = near[100 * same >= percent * (sizes[a] + sizes[near] - same)]
+        counts[near] += 1
+        counts[a] += len(near)
+        for top, b in zip(*np.unique(classes[near], return_index=True), strict=True):
+            if top != classes[a]:
+                links.append((ids[a], ids[near[b]]))
+                classes[classes == top] = classes[a]
+    return counts.tolist(), links
+
+
 # --- routing -----------------------------------------------------------------------
 SET_SCHEMA = "doc_id bigint, n bigint, f1 bigint, f2 bigint, shingles binary"
 
@@ -356,8 +421,33 @@ def _second_search(sets: DataFrame, classes: DataFrame, percent: int) -> DataFra
     return _search(askers.unionByName(asked).join(sets.select("rep", "keys", "shingles"), "rep"), percent)
 
 
-def jaccard_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, n_shingles, component_id, copies) of every row of ``docs``.
+def _join(sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (u, v, null) join what is linked, (u, null, n) add to the links of u.
+
+    Each two cells of a family meet in one task, and each cell meets itself.
+    """
+
+    def work(group: pa.Table) -> pa.Table:
+        rows = sorted(group.select(["rep", "asks", "keys", "shingles"]).to_pylist(), key=lambda r: r["rep"])
+        keys, shingles = ([np.frombuffer(r[c], np.uint64) for r in rows] for c in ("keys", "shingles"))
+        asks = None if rows[0]["asks"] is None else [r["asks"] for r in rows]
+        counts, links = join_block([r["rep"] for r in rows], keys, shingles, percent, asks)
+        counted = [(r["rep"], n) for r, n in zip(rows, counts, strict=True) if n]
+        u, v, n = [a for a, _ in links] + [a for a, _ in counted], [b for _, b in links] + [None] * len(counted), [None] * len(links) + [n for _, n in counted]
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    own = F.pmod(F.xxhash64("rep"), F.col("cells"))
+    meets = sets.withColumn("own", own).withColumn("met", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cells") - 1)))
+    asks = F.when(F.col("own") != F.col("met"), F.col("own") < F.col("met"))
+    placed = meets.select("family", F.least("own", "met").alias("cell"), F.greatest("own", "met").alias("other"), "rep", asks.alias("asks"), "keys", "shingles")
+    return placed.groupBy("family", "cell", "other").applyInArrow(work, "u bigint, v bigint, n bigint")
+
+
+def jaccard_classes(docs: DataFrame, words: int = 3, percent: int = 90, count_links: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, copies, n_links) of every row of ``docs``.
+
+    ``n_links`` is the number of other sets that the row's set links with, each once
+    however many copies it has; without ``count_links`` there is no such column.
 
     ``component_id`` is the smallest doc_id that links reach, itself included; two texts
     link when 100 * intersection >= ``percent`` * union.  Texts without words link with
@@ -379,14 +469,21 @@ def jaccard_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     whole = _sets(texts, words, whole=True).select(*fingerprint, "shingles")
     of_rep = routes.select(*fingerprint, "rep", "keys").join(family, "rep")
     sets = whole.join(of_rep, fingerprint).dropDuplicates(["rep"]).select("rep", "keys", "shingles", "family", "cells").checkpoint()
-    links = _first_search(sets, percent).checkpoint()
-    if not sets.where("cells > 1").isEmpty():
-        classes = components(links).select(F.col("node").alias("rep"), F.col("component").alias("class"))
-        links = links.unionByName(_second_search(sets, classes, percent))
+    if count_links:
+        joined = _join(sets, percent).checkpoint()
+        links = joined.where("v is not null").select("u", "v")
+        reps = reps.join(joined.where("n is not null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n_links")), "rep", "left").na.fill(0, ["n_links"])
+    else:
+        links = _first_search(sets, percent).checkpoint()
+        if not sets.where("cells > 1").isEmpty():
+            classes = components(links).select(F.col("node").alias("rep"), F.col("component").alias("class"))
+            links = links.unionByName(_second_search(sets, classes, percent))
     final = components(links).select(F.col("node").alias("rep"), F.col("component"))
-    of_set = reps.join(final, "rep", "left").select(*fingerprint, F.coalesce("component", "rep").alias("component"), "copies")
+    counted = ["n_links"] if count_links else []
+    of_set = reps.join(final, "rep", "left").select(*fingerprint, F.coalesce("component", "rep").alias("component"), "copies", *counted)
     members = _sets(docs, words).drop("shingles")
-    return members.join(of_set, fingerprint, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    n_links = [F.when(F.col("n") > 0, F.col(c)).otherwise(0).alias(c) for c in counted]
+    return members.join(of_set, fingerprint, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies"), *n_links)
 
 
 def keep_one_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -394,11 +491,12 @@ def keep_one_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
 
     Rows without a doc_id stay unless their set equals that of a row with one.
     """
-    classes = jaccard_classes(docs, words, percent)
+    classes = jaccard_classes(docs, words, percent, count_links=False)
     stays = classes.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null"))
 
 
 def op1_classes(docs: DataFrame) -> DataFrame:
-    return jaccard_classes(docs, 3, 90)
+    """The columns of the query's SQL, which has no ``n_links``."""
+    return jaccard_classes(docs, 3, 90).drop("n_links")

@@ -81,6 +81,32 @@ def test_cut_families(spark, monkeypatch):
     assert run(spark, docs, 3, 80) == brute(docs, 3, 80)
 
 
+def counted(docs, words, percent):
+    own = {k: sets(t, words) for k, t in docs}
+    different = {s for s in own.values() if s}
+    return {k: sum(a != s and 100 * len(a & s) >= percent * len(a | s) for a in different) for k, s in own.items()}
+
+
+@pytest.mark.parametrize("cell_sets", [3, 1500])
+def test_every_link_is_counted(spark, monkeypatch, cell_sets):
+    monkeypatch.setattr(J, "CELL_SETS", cell_sets)
+    r, base = random.Random(7), [f"v{k}" for k in range(200)]
+    near = [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(2, 198, 2)]
+    docs = list(enumerate([*near, near[0], *(t for _, t in corpus(5)), *(" ".join(r.sample(base, 40)) for _ in range(5))]))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.n_links for r in J.jaccard_classes(df, 3, 90).collect()}
+    assert got == counted(docs, 3, 90) and got[0] == 97 == got[98]
+
+
+def test_classes_without_counts(spark, monkeypatch):
+    monkeypatch.setattr(J, "CELL_SETS", 3)
+    monkeypatch.setattr(J, "CHAIN_FROM", 2)
+    docs = corpus(6)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in J.jaccard_classes(df, 3, 80, count_links=False).collect())
+    assert got == brute(docs, 3, 80)
+
+
 def test_whole_table(spark):
     docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     assert run(spark, docs, 3, 90) == brute(docs, 3, 90)
