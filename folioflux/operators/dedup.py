@@ -8,6 +8,9 @@ earlier match survives; a row whose least earlier match is a survivor is dropped
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -143,38 +146,63 @@ RESOLVE_SCHEMA = "id string, type string, outcome string, target string, score d
 def resolve_entities(new: DataFrame, merge_at: float = 0.92, review_at: float = 0.78) -> DataFrame:
     """Incremental resolution within each type, in order of ``seq``.
 
-    Rows: id, type, seq, name, aliases, known (an existing node).  A new row is compared
-    with all nodes before it, whose names grow by the rows merged into them: at
-    ``merge_at`` it merges, from ``review_at`` it is created and marked, else created.
-    Equal ids match at once.  The order makes this sequential within a type; a type's
-    words block the comparisons, so that only nodes sharing a word are scored.
+    Rows: id, type, seq, name, aliases, known (an existing node) and, where there are
+    any, the name's ``vector``.  A new row is compared with all nodes before it, whose
+    names grow by the rows merged into them: at ``merge_at`` it merges, from
+    ``review_at`` it is created and marked, else created.  A score is the best
+    similarity of names or, if higher, the cosine of vectors.  Equal ids match at once.
+    The order makes this sequential within a type.  Nodes are scored from the highest
+    bound down until none can reach the best score, so no match is lost.
     """
+    has_vectors = "vector" in new.columns
 
     def resolve(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["known", "seq"], ascending=[False, True], kind="stable")
+        names = [list(dict.fromkeys(f for f in (_name_key(x) for x in [row.name, *(row.aliases if row.aliases is not None else [])]) if f)) for row in block.itertuples(index=False)]
+        size = sum(map(len, names))
+        # Of each form: its node, the letters of its different words, and their number.
+        node_of, letters, lengths, held = np.zeros(size, np.int64), np.zeros((size, len(LETTERS)), np.int32), np.zeros(size, np.int64), 0
         nodes: list[tuple[str, list[str]]] = []
+        units = np.zeros((len(block), max((len(v) for v in block["vector"] if v is not None), default=0) if has_vectors else 0))
         by_word: dict[str, list[int]] = {}
         at: dict[str, int] = {}
         rows = []
 
         def add(node: int, forms: list[str]) -> None:
+            nonlocal held
             for form in forms:
                 nodes[node][1].append(form)
+                node_of[held] = node
+                letters[held], lengths[held] = _letters(form)
+                held += 1
                 for word in set(form.split()):
                     by_word.setdefault(word, []).append(node)
 
-        for row in block.itertuples(index=False):
-            forms = list(dict.fromkeys(f for f in (_name_key(x) for x in [row.name, *(row.aliases if row.aliases is not None else [])]) if f))
+        def search(forms: list[str], unit: np.ndarray) -> tuple[int, float]:
+            near = np.clip(units[: len(nodes)] @ unit, 0.0, 1.0) if unit.any() else np.zeros(len(nodes))
+            bound = np.zeros(len(nodes))
+            for form in forms:
+                own, length = _letters(form)
+                # Names without a common word can't share more letters than both have.
+                np.maximum.at(bound, node_of[:held], 200.0 * np.minimum(letters[:held], own).sum(axis=1) / (lengths[:held] + length))
+            bound[sorted({n for f in forms for w in f.split() for n in by_word.get(w, ())})] = 100.0
+            bound = np.maximum(bound / 100.0, near)
+            best, top = -1, 0.0
+            for k in np.argsort(-bound, kind="stable").tolist():
+                if bound[k] < top or bound[k] == 0.0:
+                    break
+                score = max(max((token_set(f, g) for f in forms for g in nodes[k][1]), default=0.0) / 100.0, float(near[k]))
+                if score > top or (score == top > 0.0 and k < best):
+                    best, top = k, score
+            return best, top
+
+        for row, forms in zip(block.itertuples(index=False), names, strict=True):
+            unit = _unit(row.vector if has_vectors else None, units.shape[1])
             best, top = -1, 0.0
             if not row.known:
-                if row.id in at:
-                    best, top = at[row.id], 1.0
-                else:
-                    for k in sorted({n for f in forms for w in f.split() for n in by_word.get(w, ())}):
-                        score = max(token_set(f, g) for f in forms for g in nodes[k][1]) / 100.0
-                        if score > top:
-                            best, top = k, score
+                best, top = (at[row.id], 1.0) if row.id in at else search(forms, unit)
             if row.known or best < 0 or top < merge_at:
+                units[len(nodes)] = unit
                 nodes.append((row.id, []))
                 at.setdefault(row.id, len(nodes) - 1)
                 add(len(nodes) - 1, forms)
@@ -188,6 +216,23 @@ def resolve_entities(new: DataFrame, merge_at: float = 0.92, review_at: float =
     return new.groupBy("type").applyInPandas(resolve, RESOLVE_SCHEMA)
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def _letters(form: str) -> tuple[list[int], int]:
+    """How often each letter occurs in a name's different words, and their length."""
+    words = " ".join(set(form.split()))
+    seen = Counter(words)
+    return [seen[c] for c in LETTERS], len(words)
+
+
+def _unit(vector: np.ndarray | None, size: int) -> np.ndarray:
+    """A vector of length 1; zeros where there is none or it has no direction."""
+    v = np.zeros(size) if vector is None or len(vector) != size else np.asarray(vector, np.float64)
+    norm = np.linalg.norm(v)
+    return v / norm if norm and np.isfinite(norm) else np.zeros(size)
+
+
 def _name_key(name: str | None) -> str:
     low = "".join(c if c.isascii() and c.isalnum() else " " for c in (name or "").lower())
     return " ".join(low.split())

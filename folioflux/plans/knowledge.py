@@ -34,11 +34,14 @@ def rule_entities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 def ingest(nodes: DataFrame, known: DataFrame, edges: DataFrame, vocabulary: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """New nodes resolved against known ones, edges moved to the survivors.
 
-    Returns nodes, edges and the outcomes.  Nodes: id, type, name, aliases, seq.
+    Returns nodes, edges and the outcomes.  Nodes: id, type, name, aliases, seq, and where
+    both tables have it the ``vector`` of the name.
     """
-    new = graph.merge_nodes(nodes).join(nodes.groupBy("id").agg(F.min("seq").alias("seq")), "id").withColumn("known", F.lit(False))
-    old = known.select("id", "type", "name", "aliases").withColumn("seq", F.lit(-1).cast("bigint")).withColumn("known", F.lit(True))
-    columns = ["id", "type", "seq", "name", "aliases", "known"]
+    vector = ["vector"] if "vector" in nodes.columns and "vector" in known.columns else []
+    first = nodes.groupBy("id").agg(F.min("seq").alias("seq"), *[F.min_by(v, "seq").alias(v) for v in vector])
+    new = graph.merge_nodes(nodes.drop("vector")).join(first, "id").withColumn("known", F.lit(False))
+    old = known.select("id", "type", "name", "aliases", *vector).withColumn("seq", F.lit(-1).cast("bigint")).withColumn("known", F.lit(True))
+    columns = ["id", "type", "seq", "name", "aliases", "known", *vector]
     outcomes = dedup.resolve_entities(new.select(*columns).unionByName(old.select(*columns))).checkpoint()
     mapping = outcomes.where("outcome = 'merge'").select("id", "target").where("id <> target").distinct()
     rows = new.select("id", "type", "name", "aliases", "seq").unionByName(old.select("id", "type", "name", "aliases", "seq"))

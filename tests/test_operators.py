@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from folioflux.functions.similarity import token_set
 from folioflux.operators import dedup, documents, graph, reports, retrieval, rules
 from folioflux.sources import feeds, sinks
 from folioflux.streaming import events
@@ -62,6 +63,36 @@ def test_entities_grow_by_merges(spark):
     assert got == {("t:gpt-4", "known", "t:gpt-4"), ("t:gpt4", "merge", "t:gpt-4"), ("t:g", "merge", "t:gpt-4"), ("o:gpt", "create", "o:gpt"), ("t:gpt-4", "merge", "t:gpt-4")}
 
 
+def test_entities_without_a_common_word(spark):
+    rows = [("a", "T", 1, "modeling", True, [1.0, 0.0]), ("b", "T", 2, "modelling", False, [0.0, 1.0]), ("c", "T", 3, "behaviour", False, None), ("d", "T", 4, "behavior", False, None), ("e", "T", 5, "reinforcement learning", False, [0.6, 0.8]), ("f", "T", 6, "RL", False, [0.61, 0.79]), ("g", "T", 7, "xyzzy", False, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "id string, type string, seq long, name string, known boolean, vector array<double>").withColumn("aliases", F.array().cast("array<string>"))
+    got = {r.id: (r.outcome, r.target) for r in dedup.resolve_entities(df).collect()}
+    assert got == {"a": ("known", "a"), "b": ("merge", "a"), "c": ("create", "c"), "d": ("merge", "c"), "e": ("create", "e"), "f": ("merge", "e"), "g": ("create", "g")}
+    bare = {r.id: (r.outcome, r.target) for r in dedup.resolve_entities(df.drop("vector")).collect()}
+    assert bare == got | {"f": ("create", "f")}
+
+
+def test_entities_equal_the_scan_of_all_nodes(spark):
+    r = random.Random(3)
+    words = ["".join(r.choice("abcde") for _ in range(r.randrange(1, 7))) for _ in range(25)]
+    rows = [(f"n{k}", "T", k, " ".join(r.choice(words) for _ in range(r.randrange(0, 4))), [r.choice(words)] if r.random() < 0.3 else [], k % 5 == 0) for k in range(120)]
+    nodes, want = [], {}
+    for key, _, _, name, aliases, known in sorted(rows, key=lambda x: (not x[5], x[2])):
+        forms, best, top = [f for f in dict.fromkeys([name, *aliases]) if f], -1, 0.0
+        for k, (_, others) in enumerate(nodes if not known else []):
+            score = max((token_set(f, g) for f in forms for g in others), default=0.0) / 100.0
+            if score > top:
+                best, top = k, score
+        if top >= 0.92:
+            nodes[best][1].extend(forms)
+            want[key] = ("merge", nodes[best][0], top)
+        else:
+            nodes.append((key, list(forms)))
+            want[key] = ("known" if known else "review" if top >= 0.78 else "create", nodes[best][0] if top >= 0.78 else key, top)
+    df = spark.createDataFrame(rows, "id string, type string, seq long, name string, aliases array<string>, known boolean")
+    assert {r.id: (r.outcome, r.target, r.score) for r in dedup.resolve_entities(df).collect()} == want
+
+
 def test_bridge_needs_both_directions(spark):
     edges = spark.createDataFrame([("a", "supports", "idea", 0.9), ("b", "supports", "idea", 0.5), ("a", "x", "idea", 0.2)], "src string, rel string, dst string, confidence double")
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
