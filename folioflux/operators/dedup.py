@@ -9,6 +9,9 @@ earlier match survives; a row whose least earlier match is a survivor is dropped
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -19,6 +22,8 @@ from folioflux.functions.similarity import ratio_bound, sequence_ratio, token_se
 from folioflux.functions.text import normal_doi, title_key
 
 MAX_ROUNDS = 200
+#: Artefacts that one pass over the articles searches, and that one search takes together.
+ASKED, TOGETHER = 4096, 64
 
 
 def keyed_dedup(df: DataFrame, key: Column, seq: str, collect: str | None = None) -> DataFrame:
@@ -131,6 +136,88 @@ def title_score(artifact: Column, candidate: Column) -> Column:
     return F.when((artifact == "") | (candidate == ""), 0.0).when(held, F.greatest(ratio, F.lit(0.95))).otherwise(ratio)
 
 
+class _Titles:
+    """Artefact titles whose common subsequences with a text are found together.
+
+    Each has its bits in one integer, with a bit between that stops the carry.
+    """
+
+    def __init__(self, titles: list[str]):
+        self.lengths = np.array([len(t) for t in titles])
+        self.starts = np.cumsum(self.lengths + 1) - (self.lengths + 1)
+        places: dict[str, list[int]] = {}
+        for start, title in zip(self.starts.tolist(), titles, strict=True):
+            for k, c in enumerate(title):
+                places.setdefault(c, []).append(start + k)
+        self.size = int((self.lengths + 1).sum())
+        self.masks = {c: self._bits(at) for c, at in places.items()}
+        self.full = 0
+        for mask in self.masks.values():
+            self.full |= mask
+
+    def _bits(self, at: list[int]) -> int:
+        bits = np.zeros(self.size, np.uint8)
+        bits[at] = 1
+        return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+    def common(self, text: str) -> np.ndarray:
+        """Length of the longest common subsequence of each title and the text."""
+        state = self.full
+        for c in text:
+            hit = state & self.masks.get(c, 0)
+            state = ((state + hit) | (state - hit)) & self.full
+        left = np.unpackbits(np.frombuffer(state.to_bytes(self.size // 8 + 1, "little"), np.uint8), bitorder="little")[: self.size]
+        return self.lengths - np.add.reduceat(left, self.starts, dtype=np.int64)
+
+
+def best_articles(artifacts: DataFrame, articles: DataFrame, least: float = 0.74) -> DataFrame:
+    """(artifact, doc_id, score): for each artefact the best of all articles by ``title_score``.
+
+    Rows: (artifact, a) and (doc_id, c); the first article wins a tie.  The matched
+    characters of a ratio are a common subsequence, so the longest one bounds the ratio:
+    only pairs whose bound is under ``least`` are left out.
+    """
+    different = articles.where("c <> ''").groupBy("c").agg(F.min("doc_id").alias("doc_id"))
+    kinds = [artifacts.schema["artifact"].dataType.simpleString(), articles.schema["doc_id"].dataType.simpleString()]
+    schema = f"artifact {kinds[0]}, doc_id {kinds[1]}, score double"
+
+    def search(asked: list[tuple[object, str]]) -> DataFrame:
+        groups = [list(g) for g in batched(sorted(asked, key=lambda x: len(x[1])), TOGETHER)]
+
+        def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            titles = [_Titles([t for _, t in g]) for g in groups]
+            best: dict[object, tuple[float, object]] = {}
+            for frame in frames:
+                for c, doc_id in zip(frame["c"], frame["doc_id"].tolist(), strict=True):
+                    for group, own in zip(groups, titles, strict=True):
+                        total = own.lengths + len(c)
+                        near = 2.0 * np.minimum(own.lengths, len(c)) / total >= least
+                        if near.any():
+                            near = 2.0 * own.common(c) / total >= least
+                        for (key, a), close in zip(group, near.tolist(), strict=True):
+                            held = a in c or c in a
+                            if not (close or held):
+                                continue
+                            score = SequenceMatcher(None, a, c).ratio()
+                            score = max(score, 0.95) if held else score
+                            known = best.get(key)
+                            if score >= least and (known is None or (-score, doc_id) < (-known[0], known[1])):
+                                best[key] = (score, doc_id)
+            yield pd.DataFrame([(k, d, s) for k, (s, d) in best.items()], columns=["artifact", "doc_id", "score"])
+
+        return different.mapInPandas(work, schema)
+
+    found = None
+    rows = ((r.artifact, r.a) for r in artifacts.where("a <> ''").select("artifact", "a").toLocalIterator())
+    for asked in batched(rows, ASKED):
+        part = search(list(asked))
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return artifacts.sparkSession.createDataFrame([], schema)
+    top = F.max_by(F.struct("doc_id", "score"), F.struct("score", (-F.col("doc_id")).alias("d")))
+    return found.groupBy("artifact").agg(top.alias("top")).select("artifact", "top.doc_id", "top.score")
+
+
 def prior_edition(rows: DataFrame, history: DataFrame, month: str, key: str) -> DataFrame:
     """First match among other months, best score first, then title."""
     others = history.where(F.col("target_month") != month).select(F.col(key).alias("__k"), F.col("title").alias("prior_title"), F.col("target_month").alias("prior_month"), F.col("score").alias("prior_score"))

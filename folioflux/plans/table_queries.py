@@ -72,14 +72,14 @@ def except_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("greedy_exact_dedup", None)
 def greedy_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.md5(casefold(F.col("text"))).alias("k1"), F.md5(F.left(F.regexp_replace("text", "\\s+", ""), F.lit(40))).alias("k2"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.md5(casefold(F.col("text"))).alias("k1"), F.md5(F.regexp_replace("text", "\\s+", "")).alias("k2"))
     return dedup.greedy_exact_dedup(rows, "doc_id", [F.col("k1"), F.col("k2")]).select("doc_id", "kept_seq")
 
 
 @query("greedy_fuzzy_dedup", None)
 def greedy_fuzzy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles are first lines; the words of a line's start stand in for authors."""
-    line = F.left(F.try_element_at(F.split("text", "\n"), F.lit(1)), F.lit(200))
+    line = F.try_element_at(F.split("text", "\n"), F.lit(1))
     rows = table(spark, sf_dir, "documents").select("doc_id", line.alias("title"), F.md5(casefold(F.col("text"))).alias("doi"), F.array(F.left(line, F.lit(12)), F.right(line, F.lit(12))).alias("authors"))
     pairs = dedup.fuzzy_pairs(rows, "doc_id", F.col("title"), F.col("doi"), F.col("authors"))
     return dedup.greedy_from_pairs(rows.select(F.col("doc_id").alias("seq")), pairs)
@@ -87,12 +87,12 @@ def greedy_fuzzy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("artifact_to_canonical", None)
 def artifact_to_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items as artefacts: the best article with the same first word."""
+    """Benchmark items as artefacts: the best of all articles; titles are whole first lines."""
     phrases = ["code for", "dataset for", "data for"]
-    key = lambda c: identity_title(F.left(c, F.lit(160)), phrases)
-    left = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("artifact"), key(F.col("text")).alias("a")).withColumn("block", F.split("a", " ")[0])
-    right = table(spark, sf_dir, "documents").select("doc_id", key(F.col("text")).alias("c")).withColumn("block", F.split("c", " ")[0])
-    return dedup.best_match(left, right, ["block"], dedup.title_score(F.col("a"), F.col("c")), 0.74, "artifact", "doc_id").select("artifact", "doc_id", F.round("score", 6).alias("score"))
+    key = lambda c: identity_title(F.try_element_at(F.split(c, "\n"), F.lit(1)), phrases)
+    left = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("artifact"), key(F.col("text")).alias("a"))
+    right = table(spark, sf_dir, "documents").select("doc_id", key(F.col("text")).alias("c"))
+    return dedup.best_articles(left, right).select("artifact", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query("title_ratio", None)

@@ -1,12 +1,14 @@
 """Operators on small tables with answers from sequential Python."""
 
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
 from folioflux.functions.similarity import token_set
 from folioflux.operators import dedup, documents, graph, reports, retrieval, rules
+from folioflux.plans import table_queries
 from folioflux.sources import feeds, sinks
 from folioflux.streaming import events
 
@@ -56,6 +58,34 @@ def test_fuzzy_needs_title_and_author(spark):
     assert got == {(1, 2), (4, 5)}
 
 
+def test_artifacts_meet_all_articles(spark):
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdef") for _ in range(r.randrange(1, 7))) for _ in range(12)]
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    articles = [(k, text(r.randrange(0, 9))) for k in range(150)] + [(200, "the ocean heat content of the north rises"), (201, "")]
+    articles += [(300 + k, c[: len(c) // 2] + "f" + c[len(c) // 2 + 1 :]) for k, c in articles[:40]]
+    artifacts = [(k, text(r.randrange(0, 9))) for k in range(90)] + [(100, "ocean heat content"), (101, "an ocean heat content of the north rise")]
+    want = {}
+    for key, a in artifacts:
+        for doc_id, c in articles:
+            score = SequenceMatcher(None, a, c).ratio()
+            score = max(score, 0.95) if a in c or c in a else score
+            if a and c and score >= 0.74 and score > want.get(key, (0, 0.0))[1]:
+                want[key] = (doc_id, score)
+    left, right = spark.createDataFrame(artifacts, "artifact long, a string"), spark.createDataFrame(articles, "doc_id long, c string")
+    got = {x.artifact: (x.doc_id, x.score) for x in dedup.best_articles(left, right).collect()}
+    assert got == want and got[100] == (200, 0.95)
+    assert dedup.best_articles(left.limit(0), right).count() == 0
+
+
+def test_keys_hold_whole_texts(spark, tmp_path):
+    opening = "The same opening of more than forty characters, "
+    docs = [(1, opening + "then one"), (2, opening + "then two"), (3, opening + " then\tone"), (4, opening.upper() + "THEN ONE")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.kept_seq for r in table_queries.greedy_exact_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 1}
+
+
 def test_entities_grow_by_merges(spark):
     rows = [("t:gpt-4", "Tech", 1, "GPT-4", [], True), ("t:gpt4", "Tech", 2, "GPT 4", ["g four"], False), ("t:g", "Tech", 3, "G Four", [], False), ("o:gpt", "Org", 4, "GPT-4", [], False), ("t:gpt-4", "Tech", 5, "whatever", [], False)]
     df = spark.createDataFrame(rows, "id string, type string, seq long, name string, aliases array<string>, known boolean")
