@@ -9,7 +9,7 @@ earlier match survives; a row whose least earlier match is a survivor is dropped
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 from itertools import batched
 
@@ -170,6 +170,17 @@ class _Titles:
         return self.lengths - np.add.reduceat(left, self.starts, dtype=np.int64)
 
 
+def _groups(asked: Sequence[tuple[object, str]]) -> list[list[tuple[object, str]]]:
+    return [list(g) for g in batched(sorted(asked, key=lambda x: len(x[1])), TOGETHER)]
+
+
+def _within(own: _Titles, text: str, least: float) -> np.ndarray:
+    """Which titles can have a ratio of ``least`` with the text."""
+    total = own.lengths + len(text)
+    near = 2.0 * np.minimum(own.lengths, len(text)) / total >= least
+    return 2.0 * own.common(text) / total >= least if near.any() else near
+
+
 def best_articles(artifacts: DataFrame, articles: DataFrame, least: float = 0.74) -> DataFrame:
     """(artifact, doc_id, score): for each artefact the best of all articles by ``title_score``.
 
@@ -182,7 +193,7 @@ def best_articles(artifacts: DataFrame, articles: DataFrame, least: float = 0.74
     schema = f"artifact {kinds[0]}, doc_id {kinds[1]}, score double"
 
     def search(asked: list[tuple[object, str]]) -> DataFrame:
-        groups = [list(g) for g in batched(sorted(asked, key=lambda x: len(x[1])), TOGETHER)]
+        groups = _groups(asked)
 
         def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             titles = [_Titles([t for _, t in g]) for g in groups]
@@ -190,11 +201,7 @@ def best_articles(artifacts: DataFrame, articles: DataFrame, least: float = 0.74
             for frame in frames:
                 for c, doc_id in zip(frame["c"], frame["doc_id"].tolist(), strict=True):
                     for group, own in zip(groups, titles, strict=True):
-                        total = own.lengths + len(c)
-                        near = 2.0 * np.minimum(own.lengths, len(c)) / total >= least
-                        if near.any():
-                            near = 2.0 * own.common(c) / total >= least
-                        for (key, a), close in zip(group, near.tolist(), strict=True):
+                        for (key, a), close in zip(group, _within(own, c, least).tolist(), strict=True):
                             held = a in c or c in a
                             if not (close or held):
                                 continue
@@ -219,13 +226,54 @@ def best_articles(artifacts: DataFrame, articles: DataFrame, least: float = 0.74
 
 
 def prior_edition(rows: DataFrame, history: DataFrame, month: str, key: str) -> DataFrame:
-    """First match among other months, best score first, then title."""
+    """First row with an equal key among other months, best score first, then title."""
     others = history.where(F.col("target_month") != month).select(F.col(key).alias("__k"), F.col("title").alias("prior_title"), F.col("target_month").alias("prior_month"), F.col("score").alias("prior_score"))
     order = Window.partitionBy("__k").orderBy(F.desc_nulls_last("prior_score"), "prior_title", "prior_month")
     first = others.where("__k is not null").withColumn("__rn", F.row_number().over(order)).where("__rn = 1").drop("__rn")
     return rows.join(first, rows[key] == first["__k"], "left").drop("__k")
 
 
+def title_pairs(current: DataFrame, previous: DataFrame, least: float) -> DataFrame:
+    """(a, c, ratio) of all titles ``a`` and ``c`` whose ratio is ``least`` or more."""
+    schema, different = "a string, c string, ratio double", previous.where("c <> ''").select("c").distinct()
+
+    def search(asked: Sequence[str]) -> DataFrame:
+        groups = _groups([(a, a) for a in asked])
+
+        def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            titles = [_Titles([t for _, t in g]) for g in groups]
+            for frame in frames:
+                close = [(a, c) for c in frame["c"] for group, own in zip(groups, titles, strict=True) for k in np.flatnonzero(_within(own, c, least)).tolist() for a in [group[k][1]]]
+                found = [(a, c, ratio) for a, c in close if (ratio := SequenceMatcher(None, a, c).ratio()) >= least]
+                yield pd.DataFrame(found, columns=["a", "c", "ratio"])
+
+        return different.mapInPandas(work, schema)
+
+    out = None
+    for asked in batched((r.a for r in current.where("a <> ''").select("a").distinct().toLocalIterator()), ASKED):
+        part = search(asked)
+        out = part if out is None else out.unionByName(part)
+    return current.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def prior_editions(rows: DataFrame, history: DataFrame, month: str, seq: str = "seq", high: float = 0.94, medium: float = 0.88) -> DataFrame:
+    """``rows`` with their first match among other months, best score first, then title.
+
+    Rows match by equal DOIs (confidence high), or by a title ratio of ``high`` or
+    ``medium``.  ``history``: title, target_month, score and, where there is one, doi.
+    """
+    doi = normal_doi(F.col("doi")) if "doi" in history.columns else F.lit(None).cast("string")
+    others = history.where((F.col("target_month") != month) & (F.col("target_month") != "")).select(title_key(F.col("title")).alias("c"), doi.alias("d"), F.col("title").alias("prior_title"), F.col("target_month").alias("prior_month"), F.col("score").alias("prior_score"))
+    own = rows.select(F.col(seq).alias("__seq"), title_key(F.col("title")).alias("a"), normal_doi(F.col("doi")).alias("d")).checkpoint()
+    prior = ["__seq", "prior_title", "prior_month", "prior_score", "prior_confidence"]
+    by_doi = own.drop("a").join(others.where("d is not null"), "d").withColumn("prior_confidence", F.lit("high"))
+    grade = F.when(F.col("ratio") >= high, "high").otherwise("medium")
+    by_title = own.drop("d").join(title_pairs(own, others, medium), "a").join(others, "c").withColumn("prior_confidence", grade)
+    order = Window.partitionBy("__seq").orderBy(F.desc_nulls_last("prior_score"), "prior_title", "prior_month", "prior_confidence")
+    first = by_doi.select(*prior).unionByName(by_title.select(*prior)).withColumn("__rn", F.row_number().over(order)).where("__rn = 1").drop("__rn")
+    return rows.join(first, rows[seq] == first["__seq"], "left").drop("__seq")
+
+
 # --- entity resolution -------------------------------------------------------------
 RESOLVE_SCHEMA = "id string, type string, outcome string, target string, score double"
 

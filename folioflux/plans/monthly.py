@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflux.functions.dates import parse_date
-from folioflux.functions.text import resolve_doi, title_key
+from folioflux.functions.text import resolve_doi
 from folioflux.operators import dedup, reports, rules
 
 
@@ -55,8 +55,7 @@ def monthly_run(candidates: DataFrame, config: RunConfig, history: DataFrame | N
     scored = rules.score(judged.where("bucket = 'evaluated'"), config.dimensions)
     scored = reports.ranked(scored, "composite_score", "seq")
     if history is not None:
-        keyed = scored.withColumn("prior_key", title_key(F.col("title")))
-        scored = dedup.prior_edition(keyed, history.withColumn("prior_key", title_key(F.col("title"))), config.month, "prior_key").drop("prior_key")
+        scored = dedup.prior_editions(scored, history, config.month)
     out = scored
     for part in (judged.where("bucket <> 'evaluated'"), copies, checked.where("bucket <> 'survivor'")):
         out = out.unionByName(part, allowMissingColumns=True)

@@ -78,6 +78,25 @@ def test_artifacts_meet_all_articles(spark):
     assert dedup.best_articles(left.limit(0), right).count() == 0
 
 
+def test_prior_editions_by_doi_and_ratio(spark):
+    rows = [(1, "Rapid loss of the ice sheets observed", None), (2, "A new title", "https://doi.org/10.1/X"), (3, "Warming of the northern oceans", None), (4, "Nothing like it", "10.1/none"), (5, "", None)]
+    past = [("Rapid loss of the ice sheets observed.", None, "2026-02", 5.0), ("Rapid loss of all ice sheets observed", None, "2026-01", 9.0), ("Rapid loss of the ice sheets observed", None, "2026-04", 99.0), ("Old title", "doi:10.1/x", "2026-03", None), ("Warming of the southern oceans", None, "2026-03", 1.0), ("", None, "2026-03", 8.0)]
+    df, history = spark.createDataFrame(rows, "seq long, title string, doi string"), spark.createDataFrame(past, "title string, doi string, target_month string, score double")
+    got = {r.seq: (r.prior_title, r.prior_month, r.prior_confidence) for r in dedup.prior_editions(df, history, "2026-04").collect()}
+    want = {}
+    for seq, title, doi in rows:
+        want[seq] = (None, None, None)
+        for old, old_doi, month, score in sorted(past, key=lambda x: (x[3] is None, -(x[3] or 0), x[0])):
+            ratio = SequenceMatcher(None, title.lower(), old.lower()).ratio() if title and old else 0.0
+            same = bool(doi and old_doi) and doi.lower()[-6:] == old_doi.lower()[-6:]
+            if month != "2026-04" and (same or ratio >= 0.88):
+                want[seq] = (old, month, "high" if same or ratio >= 0.94 else "medium")
+                break
+    assert got == want
+    assert (got[1][2], got[2], got[4]) == ("medium", ("Old title", "2026-03", "high"), (None, None, None))
+    assert dedup.prior_editions(df, history.drop("doi"), "2026-04").where("prior_title is not null").count() == sum(v[0] is not None for v in want.values()) - 1
+
+
 def test_keys_hold_whole_texts(spark, tmp_path):
     opening = "The same opening of more than forty characters, "
     docs = [(1, opening + "then one"), (2, opening + "then two"), (3, opening + " then\tone"), (4, opening.upper() + "THEN ONE")]
