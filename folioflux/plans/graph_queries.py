@@ -158,5 +158,5 @@ def entity_resolution_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def anchor_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", F.array(alnum_key(F.col("p_name"))).alias("forms"))
     left = parts.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("new_id"), "p_type", F.col("forms").alias("new_forms"))
-    right = parts.where("p_partkey % 50 <> 0").select(F.col("p_partkey").alias("node_id"), "p_type", "forms")
-    return dedup.best_match(left, right, ["p_type"], best_form_score(F.col("new_forms"), F.col("forms")), 0.78, "new_id", "node_id").select("new_id", "node_id", "score")
+    right = parts.select(F.col("p_partkey").alias("node_id"), "p_type", "forms")
+    return dedup.best_match(left, right, ["p_type"], F.when(F.col("new_id") != F.col("node_id"), best_form_score(F.col("new_forms"), F.col("forms"))), 0.78, "new_id", "node_id").select("new_id", "node_id", "score")

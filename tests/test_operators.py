@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from folioflux.functions.similarity import token_set
 from folioflux.operators import dedup, documents, graph, reports, retrieval, rules
-from folioflux.plans import table_queries
+from folioflux.plans import graph_queries, table_queries
 from folioflux.sources import feeds, sinks
 from folioflux.streaming import events
 
@@ -97,6 +97,12 @@ def test_prior_editions_by_doi_and_ratio(spark):
     assert dedup.prior_editions(df, history.drop("doi"), "2026-04").where("prior_title is not null").count() == sum(v[0] is not None for v in want.values()) - 1
 
 
+def test_anchors_meet_all_parts_but_themselves(spark, tmp_path):
+    parts = [(50, "T", "blue steel bolt"), (100, "T", "blue steel bolts"), (7, "T", "blue steel rod"), (150, "U", "green nut")]
+    spark.createDataFrame(parts, "p_partkey long, p_type string, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    assert {r.new_id: r.node_id for r in graph_queries.anchor_best_match(spark, str(tmp_path)).collect()} == {50: 100, 100: 50}
+
+
 def test_keys_hold_whole_texts(spark, tmp_path):
     opening = "The same opening of more than forty characters, "
     docs = [(1, opening + "then one"), (2, opening + "then two"), (3, opening + " then\tone"), (4, opening.upper() + "THEN ONE")]
