@@ -324,9 +324,10 @@ def resolve_entities(new: DataFrame, merge_at: float = 0.92, review_at: float =
             bound = np.maximum(bound / 100.0, near)
             best, top = -1, 0.0
             for k in np.argsort(-bound, kind="stable").tolist():
-                if bound[k] < top or bound[k] == 0.0:
+                # Equal bounds are in order of nodes, so none after a full score can win.
+                if bound[k] < top or bound[k] == 0.0 or top >= 1.0:
                     break
-                score = max(max((token_set(f, g) for f in forms for g in nodes[k][1]), default=0.0) / 100.0, float(near[k]))
+                score = max(_best_score(forms, nodes[k][1]) / 100.0, float(near[k]))
                 if score > top or (score == top > 0.0 and k < best):
                     best, top = k, score
             return best, top
@@ -351,6 +352,16 @@ def resolve_entities(new: DataFrame, merge_at: float = 0.92, review_at: float =
     return new.groupBy("type").applyInPandas(resolve, RESOLVE_SCHEMA)
 
 
+def _best_score(forms: list[str], others: list[str]) -> float:
+    best = 0.0
+    for f in forms:
+        for g in others:
+            best = max(best, token_set(f, g))
+            if best >= 100.0:
+                return best
+    return best
+
+
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
 
 
