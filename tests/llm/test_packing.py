@@ -6,7 +6,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from tokenizers import Tokenizer
 
-from folioflux.llm.packing import WordTokenizer, op9_pieces, pack, piece_lengths, vocabulary_path
+from folioflux.llm.packing import WordTokenizer, cut_pieces, op9_pieces, pack, piece_lengths, vocabulary_path
 from folioflux.llm.rows import text_blocks
 
 ODD = ["", "a", "don't stop", "It's 3rd-rate", "naïve café, déjà-vu", "x̃y a,̃b", "1⃣2", "≮=", "日本語 text。", "ß×÷ÿ", "a b　c", "\x00\x1f\x7f a", "'s 't 're'll", "é,é.", "<|startoftext|>hi<|endoftext|>", "İΣẞ", "½²³ ⅷ", "é,è.à!", "İSTANBUL 12'3", "👍🏽 ok‍", "a\x0bb\x0cc\x85d", "Å Å", "KK"]
@@ -14,7 +14,6 @@ ODD = ["", "a", "don't stop", "It's 3rd-rate", "naïve café, déjà-vu", "x̃y
 
 def _expected(texts):
     tok = Tokenizer.from_file(vocabulary_path())
-    tok.encode_special_tokens = True
     return [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -32,10 +31,36 @@ def test_ids_are_those_of_the_tokenizer():
     rng = random.Random(5)
     alphabet = list("abcXYZ019 \n\t.,;'-<=!éßÄñ×̸́ 　日½👍‍⃣İΣ'stremdl")
     texts = ODD + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(4000)]
+    marks = ["<|startoftext|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "a", "é", "̸", " ", "'s", "7", "<", ">"]
+    texts += ["".join(rng.choice(marks) for _ in range(rng.randrange(9))) for _ in range(3000)]
+    texts += ["".join(rng.choice("erchtéinä") for _ in range(rng.randrange(1, 30))) for _ in range(3000)]
     texts += pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()
     assert _got(texts) == _expected(texts)
 
 
+def test_forgotten_units_are_asked_again(monkeypatch):
+    monkeypatch.setattr("folioflux.llm.packing.KEPT_UNITS", 50)
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abc é1.") for _ in range(200)) for _ in range(400)]
+    tokenizer = WordTokenizer(vocabulary_path())
+    for n in range(0, len(texts), 20):
+        part = texts[n : n + 20]
+        (block,) = text_blocks(iter([pa.RecordBatch.from_pydict({"doc_id": list(range(20)), "text": part})]))
+        ids, first = tokenizer.encode(block)
+        assert [ids[first[k] : first[k + 1]].tolist() for k in range(20)] == _expected(part)
+
+
+def test_cut_pieces_equals_piece_lengths():
+    tokens = [1, 4096, 8205, 4095, 1, 12288, 7]
+    for max_len in (1, 2, 64, 4096):
+        owner, part, start, length = cut_pieces(np.array(tokens), max_len)
+        for k, n in enumerate(tokens):
+            own = piece_lengths(n, max_len)
+            assert length[owner == k].tolist() == own
+            assert part[owner == k].tolist() == list(range(len(own)))
+            assert start[owner == k].tolist() == np.cumsum([0] + own)[:-1].tolist()
+
+
 def test_piece_lengths():
     assert piece_lengths(1) == [1]
     assert piece_lengths(4096) == [4096]
