@@ -1,11 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Five transducers read a clause's words and write tags: insults and threats (automata
-over word stems, with learned weights), targets, negations, and reported speech.  They
-are composed into one machine whose states say which of target, negation and report
-are open; its arcs weigh an insult or threat by that state.  A clause's score is the
-weight of its path, a text's score the calibrated weight of its matched clauses, so an
-isolated word counts by its clause only.
+A word's tags come from tries: insults and threats by stem (with learned weights),
+targets, negations and reports by whole word.  Five transducers work on the tags of a
+clause.  Three remember that a negation, a report or a target has just been read and
+mark the tags in its reach.  The threat transducer lets a threat count where a target is
+open, or takes it on the condition that a target follows within reach: such a path dies
+without one.  The insult transducer weighs insults by their marks.  They are composed
+into one machine, whose states thus say what is open; a clause's weight is that of its
+best path, a text's score the calibrated weight of its clauses, so an isolated word
+counts by its clause only.
 
 Stems are learned: a stem is a short word prefix that labelled toxic texts hold and
 clean ones do not.  They come from a bounded sample of labelled texts.
@@ -16,7 +19,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,6 +29,7 @@ from pyspark.sql import functions as F
 
 from folioflux.llm.labels import fetch_sample, known_labels, remainder
 from folioflux.llm.rows import TextBlock, append_score, families
+from folioflux.llm.transducers import Transducer, compose
 
 FOLDS, HELD = 5, 0
 #: Bound of the labelled sample that reaches the driver.
@@ -46,6 +52,92 @@ _STOP = frozenset(".!?;\n")
 NEGATED, REPORTED, TARGETED = 0.3, 0.4, 1.25
 #: Words for which an opened negation, report or target stays open.
 REACH = {"negation": 3, "report": 8, "target": 6}
+#: Words whose tags a worker remembers.
+KEPT_WORDS = 50_000
+#: Weights of stems in the machine's alphabet are so many parts of 1.
+LEVELS = 16
+
+# A tag is (kind, level, marks); marks say what is open where it stands.
+IN_NEGATION, IN_REPORT, AT_TARGET = 1, 2, 4
+PLAIN = ("other", "negation", "report", "target")
+
+
+def alphabet(marks: Sequence[int] = (0,)) -> list[tuple[str, int, int]]:
+    """All tags with any of some marks."""
+    weighed = [(kind, level) for kind in ("insult", "threat") for level in range(1, LEVELS + 1)]
+    return [(kind, level, m) for kind, level in [*((k, 0) for k in PLAIN), *weighed] for m in marks]
+
+
+def opener(kind: str, mark: int, marks: Sequence[int]) -> Transducer:
+    """Adds ``mark`` to the tags that follow a tag of ``kind`` within its reach."""
+    out = Transducer()
+    for _ in range(REACH[kind]):
+        out.state()
+    for left in range(REACH[kind] + 1):
+        for tag in alphabet(marks):
+            if tag[0] == kind:
+                out.add(left, tag, tag, 0.0, REACH[kind])
+            else:
+                out.add(left, tag, (*tag[:2], tag[2] | mark) if left else tag, 0.0, max(0, left - 1))
+    return out
+
+
+def factor(marks: int) -> float:
+    return (NEGATED if marks & IN_NEGATION else 1.0) * (REPORTED if marks & IN_REPORT else 1.0)
+
+
+def threats_machine(marks: Sequence[int]) -> Transducer:
+    """Threats weigh where a target is open or follows; other tags pass.
+
+    State k > 0 owes a target within k words, so the machine ends in state 0 only.
+    """
+    reach = REACH["target"]
+    out = Transducer()
+    for _ in range(reach):
+        out.state(final=False)
+    for owed in range(reach + 1):
+        later = owed - 1 if owed else 0
+        dead = owed == 1
+        for tag in alphabet(marks):
+            kind, level, m = tag
+            if kind == "target":
+                out.add(owed, tag, tag, 0.0, 0)
+            elif dead:
+                continue
+            elif kind != "threat":
+                out.add(owed, tag, tag, 0.0, later)
+            else:
+                weight = level / LEVELS * factor(m)
+                if m & AT_TARGET:
+                    out.add(owed, tag, ("other", 0, m), weight, later)
+                else:
+                    out.add(owed, tag, ("other", 0, m), 0.0, later)
+                    out.add(owed, tag, ("other", 0, m), weight, later or reach)
+    return out
+
+
+def insults_machine(marks: Sequence[int]) -> Transducer:
+    out = Transducer()
+    for tag in alphabet(marks):
+        kind, level, m = tag
+        weight = level / LEVELS * factor(m) * (TARGETED if m & AT_TARGET else 1.0) if kind == "insult" else 0.0
+        out.add(0, tag, ("other", 0, 0), weight, 0)
+    return out
+
+
+def parts() -> list[Transducer]:
+    """The five transducers in the order of their composition."""
+    return [
+        opener("negation", IN_NEGATION, (0,)),
+        opener("report", IN_REPORT, range(2)),
+        opener("target", AT_TARGET, range(4)),
+        threats_machine(range(8)),
+        insults_machine(range(8)),
+    ]
+
+
+def machine() -> Transducer:
+    return reduce(compose, parts())
 
 
 @dataclass
@@ -100,6 +192,19 @@ class Grammar:
     threats: StemAutomaton
     scale: float = 1.0
     bias: float = -3.0
+    machine: Transducer = field(default_factory=machine)
+    tagged: dict[str, list[tuple[str, int, int]]] = field(default_factory=dict)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"tagged": {}}
+
+    def tags(self, word: str) -> list[tuple[str, int, int]]:
+        """Every reading of a word; one that is nothing else is an ``other``."""
+        found = [(kind, 0, 0) for kind, own in (("target", _TARGETS), ("negation", _NEGATIONS), ("report", _REPORTS)) if word in own]
+        for kind, stems in (("insult", self.insults), ("threat", self.threats)):
+            if weight := stems.read(word):
+                found.append((kind, min(LEVELS, max(1, round(weight * LEVELS))), 0))
+        return found or [("other", 0, 0)]
 
     def clause_weights(self, text: str) -> list[float]:
         """Weight of each clause that an insult or threat matches.
@@ -123,30 +228,22 @@ class Grammar:
         return out
 
     def _clause(self, words: list[str]) -> float:
-        opened = {"negation": -99, "report": -99, "target": -99}
-        total, pending = 0.0, 0.0
-        for n, word in enumerate(words):
-            if word in _TARGETS:
-                opened["target"] = n
-                if pending:  # a threat may come before its target
-                    total += pending
-                    pending = 0.0
-            if word in _NEGATIONS:
-                opened["negation"] = n
-            if word in _REPORTS:
-                opened["report"] = n
-            near = {k: n - v <= REACH[k] for k, v in opened.items()}
-            factor = (NEGATED if near["negation"] else 1.0) * (REPORTED if near["report"] else 1.0)
-            insult = self.insults.read(word)
-            if insult:
-                total += insult * factor * (TARGETED if near["target"] else 1.0)
-            threat = self.threats.read(word)
-            if threat:
-                if near["target"]:
-                    total += threat * factor
-                else:
-                    pending = threat * factor
-        return total
+        """Weight of the best path over all readings of a clause's words."""
+        front, arcs = {0: 0.0}, self.machine.arcs
+        for word in words:
+            tags = self.tagged.get(word)
+            if tags is None:
+                if len(self.tagged) >= KEPT_WORDS:
+                    self.tagged.clear()
+                tags = self.tagged[word] = self.tags(word)
+            reached: dict[int, float] = {}
+            for at, total in front.items():
+                for tag in tags:
+                    for _, weight, onward in arcs[at].get(tag, ()):
+                        if total + weight > reached.get(onward, -1.0):
+                            reached[onward] = total + weight
+            front = reached
+        return max((total for at, total in front.items() if at in self.machine.final), default=0.0)
 
     def raw(self, text: str) -> float:
         return sum(self.clause_weights(text))
