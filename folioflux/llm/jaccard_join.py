@@ -13,7 +13,7 @@ searched in one task by an inverted list per shingle: for each set the short lis
 heap-merged and the L longest binary-probed (DivideSkip); sets that occur T times are
 compared exactly.
 
-Families beyond ``CELL_SETS`` are cut into cells, and each pair of cells is one task: no
+Families beyond ``CELL_SETS`` sets or ``CELL_SHINGLES`` are cut into cells, and each pair of cells is one task: no
 pair is lost, and no task gets an unbounded group.  Every set asks and every candidate is
 compared, so links are counted in full; a task returns a count for each set and as many
 links as join its classes.
@@ -33,14 +33,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from folioflux.llm.components import components
 from folioflux.llm.messages import MESSAGE, messages, packed, unpacked
-from folioflux.llm.rows import LOWER, NON_SPACE, TextBlock, chain, find_words, hash_spans, mix, text_blocks
+from folioflux.llm.rows import LOWER, NON_SPACE, TextBlock, chain, find_words, hash_spans, mix, text_blocks, unused
 
 #: T as a part of the set's size.
 SHARED_PART = 0.25
-CELL_SETS = 1500
+#: Bounds of a cell: sets, and shingles of all of them (3 MB of hashes).
+CELL_SETS, CELL_SHINGLES = 700, 400_000
 #: Ids of sets to be searched that may be sent to every task: 8 MB; more are joined.
 SENT_IDS = 1_000_000
 #: Shingles that a shard of the two routing steps stands for.
@@ -177,17 +179,50 @@ class _Classes:
         self.up[max(a, b)] = min(a, b)
 
 
+class _Block:
+    """Sets searched together: inverted lists of their keys, and their shingles as numbers."""
+
+    def __init__(self, keys: list[np.ndarray], sets: list[np.ndarray], percent: int, listed: np.ndarray | None = None):
+        self.percent, self.count = percent, len(sets)
+        self.key, self.key_first = _numbered(keys)
+        owner = np.repeat(np.arange(self.count), np.diff(self.key_first)).astype(np.uint16 if self.count < 1 << 16 else np.uint32)
+        held = np.ones(len(self.key), bool) if listed is None else listed[owner]
+        order = np.argsort(self.key[held], kind="stable")
+        self.lists = owner[held][order]
+        self.at = np.searchsorted(self.key[held][order], np.arange(self.key.max(initial=-1) + 2))
+        self.shingle, self.first = _numbered(sets)
+        self.sizes = np.diff(self.first)
+        self.own = np.zeros(self.shingle.max(initial=-1) + 1, bool)
+
+    def candidates(self, a: int) -> np.ndarray:
+        """Listed sets that share T keys with set ``a``."""
+        own = self.key[self.key_first[a] : self.key_first[a + 1]].tolist()
+        return t_occurrence_of_arrays([self.lists[self.at[k] : self.at[k + 1]] for k in own], least_shared(int(self.sizes[a]), self.percent)).astype(np.int64)
+
+    def linked(self, a: int, near: np.ndarray) -> np.ndarray:
+        """Those of ``near`` that set ``a`` links with."""
+        if not len(near):
+            return near
+        mine, sizes = self.shingle[self.first[a] : self.first[a + 1]], self.sizes[near]
+        self.own[mine] = True
+        ends = np.cumsum(sizes)
+        spots = np.arange(ends[-1]) + np.repeat(self.first[near] - (ends - sizes), sizes)
+        same = np.add.reduceat(self.own[self.shingle[spots]], ends - sizes, dtype=np.int64)
+        self.own[mine] = False
+        return near[100 * same >= self.percent * (self.sizes[a] + sizes - same)]
+
+
 def search_block(ids: list[int], classes: list[int], keys: list[np.ndarray], sets: list[np.ndarray], percent: int, asks: list[bool] | None = None) -> list[tuple[int, int]]:
     """Links that join the block's classes: enough to join all that are linked.
 
     ``keys`` are the shingles of each set that count for T.  With ``asks``, links of the
-    sets it marks are sought only.
+    sets it marks are sought only.  Sets of one class aren't compared.
     """
     n = len(ids)
     own, links = _Classes(classes), []
 
     def link(a: int, b: int) -> None:
-        if own.top(a) != own.top(b) and linked(sets[a], sets[b], percent):
+        if own.top(a) != own.top(b):
             own.join(a, b)
             links.append((ids[a], ids[b]))
 
@@ -195,27 +230,23 @@ def search_block(ids: list[int], classes: list[int], keys: list[np.ndarray], set
     if n > CHAIN_FROM:
         least = min(range(n), key=lambda k: ids[k])
         for a, b in zip(order[:-1], order[1:], strict=True):
-            link(a, b)
-            link(least, b)
-            link(order[n // 2], b)
-    tops = [own.top(k) for k in range(n)]
-    sizes: dict[int, int] = {}
-    for c in tops:
-        sizes[c] = sizes.get(c, 0) + 1
-    if len(sizes) == 1:
+            for c in (a, least, order[n // 2]):
+                if own.top(b) != own.top(c) and linked(sets[b], sets[c], percent):
+                    link(b, c)
+    tops = np.array([own.top(k) for k in range(n)])
+    different, sizes = np.unique(tops, return_counts=True)
+    if len(different) == 1:
         return links
     # Of two sets of different classes, one is outside the block's largest class.
-    largest = max(sizes, key=lambda c: (sizes[c], -c)) if n > CHAIN_FROM and asks is None else -1
-    index: dict[int, list[int]] = {}
-    for k in range(n):
-        for key in keys[k].tolist():
-            index.setdefault(key, []).append(k)
+    largest = different[np.argmax(sizes)] if n > CHAIN_FROM and asks is None else -1
+    block = _Block(keys, sets, percent)
     for a in order:
         if tops[a] == largest or (asks is not None and not asks[a]):
             continue
-        for b in t_occurrence([index[key] for key in keys[a].tolist()], least_shared(len(sets[a]), percent)):
-            if b != a:
-                link(a, b)
+        near = block.candidates(a)
+        mine = own.top(a)
+        for b in block.linked(a, np.array([b for b in near.tolist() if own.top(b) != mine], np.int64)).tolist():
+            link(a, b)
     return links
 
 
@@ -231,29 +262,13 @@ def join_block(ids: list[int], keys: list[np.ndarray], sets: list[np.ndarray], p
     With ``asks``, links between a set it marks and one it doesn't are sought only.
     """
     n = len(ids)
-    key, key_first = _numbered(keys)
-    owner = np.repeat(np.arange(n), np.diff(key_first)).astype(np.uint16 if n < 1 << 16 else np.uint32)
-    asked = np.ones(len(key), bool) if asks is None else ~np.array(asks)[owner]
-    order = np.argsort(key[asked], kind="stable")
-    lists, at = owner[asked][order], np.searchsorted(key[asked][order], np.arange(key.max(initial=-1) + 2))
-    shingle, first = _numbered(sets)
-    sizes, own = np.diff(first), np.zeros(shingle.max(initial=-1) + 1, bool)
+    block = _Block(keys, sets, percent, None if asks is None else ~np.array(asks))
     counts, classes, links = np.zeros(n, np.int64), np.arange(n), []
     for a in range(n):
         if asks is not None and not asks[a]:
             continue
-        near = t_occurrence_of_arrays([lists[at[k] : at[k + 1]] for k in key[key_first[a] : key_first[a + 1]].tolist()], least_shared(len(sets[a]), percent)).astype(np.int64)
-        if asks is None:
-            near = near[near < a]
-        if not len(near):
-            continue
-        mine = shingle[first[a] : first[a + 1]]
-        own[mine] = True
-        ends = np.cumsum(sizes[near])
-        spots = np.arange(ends[-1]) + np.repeat(first[near] - (ends - sizes[near]), sizes[near])
-        same = np.add.reduceat(own[shingle[spots]], ends - sizes[near], dtype=np.int64)
-        own[mine] = False
-        near = near[100 * same >= percent * (sizes[a] + sizes[near] - same)]
+        near = block.candidates(a)
+        near = block.linked(a, near[near < a] if asks is None else near)
         counts[near] += 1
         counts[a] += len(near)
         for top, b in zip(*np.unique(classes[near], return_index=True), strict=True):
@@ -381,7 +396,8 @@ def _families(routes: DataFrame) -> DataFrame:
     least = routed.groupBy("route").agg(F.min("rep").alias("low"))
     edges = routed.join(least, "route").where("rep <> low").select(F.col("low").alias("u"), F.col("rep").alias("v"))
     family = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("family"))
-    sizes = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / CELL_SETS).cast("bigint").alias("cells"))
+    cells = F.greatest(F.ceil(F.count(F.lit(1)) / CELL_SETS), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("bigint")
+    sizes = family.join(routes.select("rep", "n"), "rep").groupBy("family").agg(cells.alias("cells"))
     return family.join(sizes, "family")
 
 
@@ -443,32 +459,38 @@ def _join(sets: DataFrame, percent: int) -> DataFrame:
     return placed.groupBy("family", "cell", "other").applyInArrow(work, "u bigint, v bigint, n bigint")
 
 
-def jaccard_classes(docs: DataFrame, words: int = 3, percent: int = 90, count_links: bool = True) -> DataFrame:
-    """(doc_id, n_shingles, component_id, copies, n_links) of every row of ``docs``.
+FINGERPRINT = ["f1", "f2", "n"]
 
-    ``n_links`` is the number of other sets that the row's set links with, each once
-    however many copies it has; without ``count_links`` there is no such column.
 
-    ``component_id`` is the smallest doc_id that links reach, itself included; two texts
-    link when 100 * intersection >= ``percent`` * union.  Texts without words link with
-    nothing.  Rows without a doc_id stay; they belong to the class of equal sets and
-    have no class where none of these has a doc_id.  Repeated rows are equal sets.
-    An empty table gives an empty one.
+def _classes(docs: DataFrame, words: int, percent: int, count_links: bool) -> DataFrame:
+    """(f1, f2, n, least, rows, class, component, copies, n_links) of every different set.
+
+    ``least`` is the least doc_id of a set and ``rows`` the number of rows that have
+    both; ``component`` is the least doc_id of its ``class``.  A set is known by its
+    fingerprint: sets that share a least doc_id are still two, and all of them but one
+    stand under numbers below every doc_id while links are sought.
     """
-    fingerprint = ["f1", "f2", "n"]
-    reps = _sets(docs, words).where("n > 0 and doc_id is not null").groupBy(*fingerprint).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).checkpoint()
+    counted = _sets(docs, words).where("n > 0 and doc_id is not null").groupBy(*FINGERPRINT, "doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    found = counted.groupBy(*FINGERPRINT).agg(F.min(F.struct("doc_id", "rows")).alias("low"), F.sum("rows").alias("copies")).select(*FINGERPRINT, F.col("low.doc_id").alias("least"), "low.rows", "copies").checkpoint()
+    mark = F.struct(*FINGERPRINT)
+    shared_ids = found.groupBy("least").agg(F.count(F.lit(1)).alias("sets"), F.min(mark).alias("lead")).where("sets > 1").select("least", "lead").checkpoint()
+    repeated = not shared_ids.isEmpty()
+    reps = found.withColumn("rep", F.col("least"))
+    if repeated:
+        below = F.lit(found.agg(F.min("least")).first()[0]).cast("bigint") - 1 - F.monotonically_increasing_id()
+        reps = found.join(shared_ids, "least", "left").withColumn("rep", F.when(F.col("lead").isNull() | (F.col("lead") == mark), F.col("least")).otherwise(below)).drop("lead").checkpoint()
     total = reps.agg(F.sum("n")).first()[0] or 0
     shards = max(8, -(-int(total * (1 - percent / 100 + SHARED_PART)) // SHARD_SHINGLES))
-    found = _routes(_common(_by_shingle(docs, words, percent, shards), shards), percent)
-    routes = found.join(reps.drop("copies"), fingerprint).checkpoint()
+    routed = _routes(_common(_by_shingle(docs, words, percent, shards), shards), percent)
+    routes = routed.join(reps.select(*FINGERPRINT, "rep", "least"), FINGERPRINT).checkpoint()
     family = _families(routes).checkpoint()
     # The few sets left come from their texts again, which costs less than moving all.
-    wanted = family.select(F.col("rep").alias("doc_id"))
+    of_rep = routes.select(*FINGERPRINT, "rep", "least", "keys").join(family, "rep")
+    wanted = of_rep.select(F.col("least").alias("doc_id")).distinct()
     few = family.count() <= SENT_IDS
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    whole = _sets(texts, words, whole=True).select(*fingerprint, "shingles")
-    of_rep = routes.select(*fingerprint, "rep", "keys").join(family, "rep")
-    sets = whole.join(of_rep, fingerprint).dropDuplicates(["rep"]).select("rep", "keys", "shingles", "family", "cells").checkpoint()
+    whole = _sets(texts, words, whole=True).select(*FINGERPRINT, "shingles")
+    sets = whole.join(of_rep, FINGERPRINT).dropDuplicates(["rep"]).select("rep", "keys", "shingles", "family", "cells").checkpoint()
     if count_links:
         joined = _join(sets, percent).checkpoint()
         links = joined.where("v is not null").select("u", "v")
@@ -479,24 +501,76 @@ def jaccard_classes(docs: DataFrame, words: int = 3, percent: int = 90, count_li
             classes = components(links).select(F.col("node").alias("rep"), F.col("component").alias("class"))
             links = links.unionByName(_second_search(sets, classes, percent))
     final = components(links).select(F.col("node").alias("rep"), F.col("component"))
+    out = reps.join(final, "rep", "left").withColumn("class", F.coalesce("component", "rep")).withColumn("component", F.col("class"))
+    if repeated:
+        out = out.drop("component").join(out.groupBy("class").agg(F.min("least").alias("component")), "class")
+    return out.drop("rep")
+
+
+def jaccard_classes(docs: DataFrame, words: int = 3, percent: int = 90, count_links: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, copies, n_links) of every row of ``docs``.
+
+    ``n_links`` is the number of other sets that the row's set links with, each once
+    however many copies it has; without ``count_links`` there is no such column.
+
+    ``component_id`` is the smallest doc_id that links reach, itself included; two texts
+    link when 100 * intersection >= ``percent`` * union.  Texts without words link with
+    nothing.  Rows without a doc_id stay; they belong to the class of equal sets and
+    have no class where none of these has a doc_id.  Repeated rows are equal sets; rows
+    of one doc_id with different texts are different sets.  An empty table gives an
+    empty one.
+    """
     counted = ["n_links"] if count_links else []
-    of_set = reps.join(final, "rep", "left").select(*fingerprint, F.coalesce("component", "rep").alias("component"), "copies", *counted)
+    of_set = _classes(docs, words, percent, count_links).select(*FINGERPRINT, "component", "copies", *counted)
     members = _sets(docs, words).drop("shingles")
     n_links = [F.when(F.col("n") > 0, F.col(c)).otherwise(0).alias(c) for c in counted]
-    return members.join(of_set, fingerprint, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies"), *n_links)
+    return members.join(of_set, FINGERPRINT, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies"), *n_links)
+
+
+def _marked(docs: DataFrame, words: int, names: list[str]) -> DataFrame:
+    """``docs`` with its fingerprints, as columns of some ``names``."""
+    text = unused(docs.columns, "__text")
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("text").cast("string").alias(text))
+    schema = StructType([*docs.schema.fields, *(StructField(n, LongType()) for n in names)])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [np.zeros((0, 3), np.int64)]
+            for block in text_blocks(iter([batch]), text, text):
+                marks.append(np.array([(*_fingerprint(own), len(own)) for own in shingle_sets(block, words)], np.int64).reshape(-1, 3))
+            columns = [pa.array(c) for c in np.ascontiguousarray(np.concatenate(marks).T)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=schema.names)
+
+    return kept.mapInArrow(work, schema)
 
 
 def keep_one_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each class stays: that of the smallest doc_id, once if it is repeated.
+    """Of each class one row stays, with its own columns: one of the smallest doc_id.
 
-    Rows without a doc_id stay unless their set equals that of a row with one.
+    Rows whose texts have no words stay, all of them.  A row without a doc_id stays
+    unless its set equals that of a row with one.  A doc_id's rows of unlinked texts
+    stay, each.
     """
-    classes = jaccard_classes(docs, words, percent, count_links=False)
-    stays = classes.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    of_set = _classes(docs, words, percent, count_links=False).checkpoint()
+    f1, f2, n = names = [unused(docs.columns, f"__{c}") for c in FINGERPRINT]
+    kept_id, kept_rows = unused(docs.columns, "__kept"), unused(docs.columns, "__rows")
+    lead = F.min(F.struct("least", *FINGERPRINT, "rows")).alias("lead")
+    keepers = of_set.groupBy("class").agg(lead).select(F.col("lead.least").alias(kept_id), *[F.col(f"lead.{c}").alias(m) for c, m in zip(FINGERPRINT, names, strict=True)], F.col("lead.rows").alias(kept_rows)).checkpoint()
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    marked = _marked(docs.where("doc_id is not null"), words, names).alias("d")
+    found = marked.join(keepers.alias("k"), (F.col("doc_id").cast("bigint") == F.col(kept_id)) & (F.col(f"d.{f1}") == F.col(f"k.{f1}")) & (F.col(f"d.{f2}") == F.col(f"k.{f2}")) & (F.col(f"d.{n}") == F.col(f"k.{n}")), "left")
+    found = found.where((F.col(f"d.{n}") == 0) | F.col(kept_id).isNotNull())
+    mine = [F.col(f"d.`{c}`") for c in docs.columns]
+    if keepers.where(F.col(kept_rows) > 1).isEmpty():
+        out = found.select(*mine)
+    else:
+        once = found.where(F.col(kept_rows) > 1).select(*mine, F.col(f"d.{f1}"), F.col(f"d.{f2}"), F.col(f"d.{n}")).dropDuplicates(["doc_id", *names]).select(*own)
+        out = found.where(F.coalesce(F.col(kept_rows), F.lit(1)) == 1).select(*mine).unionByName(once)
+    known = of_set.select(*[F.col(c).alias(m) for c, m in zip(FINGERPRINT, names, strict=True)])
+    nameless = _marked(docs.where("doc_id is null"), words, names).join(known, names, "left_anti").select(*own)
+    return out.unionByName(nameless)
 
 
 def op1_classes(docs: DataFrame) -> DataFrame:
-    """The columns of the query's SQL, which has no ``n_links``."""
-    return jaccard_classes(docs, 3, 90).drop("n_links")
+    """One row per row of ``docs``: see :func:`jaccard_classes`."""
+    return jaccard_classes(docs, 3, 90)

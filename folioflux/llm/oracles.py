@@ -19,10 +19,12 @@ WITH RECURSIVE d AS (
   SELECT a AS u, b AS v FROM links UNION SELECT b, a FROM links
 ), reach(doc_id, other) AS (
   SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, v FROM reach r JOIN walk ON r.other = u
-), copies AS (
-  SELECT doc_id, count(*) OVER (PARTITION BY g) AS copies FROM (SELECT d.doc_id, md5(coalesce(string_agg(g, chr(10) ORDER BY g), 'none' || d.doc_id)) AS g FROM d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id)
+), marks AS (
+  SELECT doc_id, g, count(*) OVER (PARTITION BY g) AS copies FROM (SELECT d.doc_id, md5(coalesce(string_agg(g, chr(10) ORDER BY g), 'none' || d.doc_id)) AS g FROM d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id)
+), linked AS (
+  SELECT u AS doc_id, count(DISTINCT b.g) AS n_links FROM walk JOIN marks a ON u = a.doc_id JOIN marks b ON v = b.doc_id WHERE a.g <> b.g GROUP BY u
 )
-SELECT doc_id, n AS n_shingles, component_id, copies FROM n JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USING (doc_id) JOIN copies USING (doc_id)
+SELECT doc_id, n AS n_shingles, component_id, copies, coalesce(n_links, 0) AS n_links FROM n JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USING (doc_id) JOIN marks USING (doc_id) LEFT JOIN linked USING (doc_id)
 """
 
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

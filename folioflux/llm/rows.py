@@ -73,6 +73,14 @@ def _give_back() -> None:
         trim(0)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, longer by underscores where a column has it already."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def append_score(docs: DataFrame, scorer: Broadcast, name: str, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """``docs`` (its columns ``keep``, all by default) with ``scorer.value.scores(block)``.
 
@@ -81,14 +89,15 @@ def append_score(docs: DataFrame, scorer: Broadcast, name: str, keep: list[str]
     keep = docs.columns if keep is None else keep
     if name in keep:
         raise ValueError(f"{name} is a column already")
-    kept = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text"))
+    text = unused(docs.columns, "__text")
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(text))
     schema = StructType([*kept.schema.fields[:-1], StructField(name, DoubleType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = scorer.value
         for batch in batches:
             found = [np.zeros(0)]
-            for block in text_blocks(iter([batch]), "__text", "__text"):
+            for block in text_blocks(iter([batch]), text, text):
                 found.append(model.scores(block))
             columns = [batch.column(k) for k in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(found), pa.float64())], names=[*keep, name])

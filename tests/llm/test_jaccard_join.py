@@ -74,7 +74,8 @@ def test_against_brute_force(spark, seed, words, percent):
 
 
 def test_cut_families(spark, monkeypatch):
-    monkeypatch.setattr(J, "CELL_SETS", 3)
+    monkeypatch.setattr(J, "CELL_SETS", 30)
+    monkeypatch.setattr(J, "CELL_SHINGLES", 400)
     monkeypatch.setattr(J, "SENT_IDS", 5)
     monkeypatch.setattr(J, "CHAIN_FROM", 2)
     docs = corpus(4)
@@ -119,7 +120,19 @@ def test_nulls_and_repeats(spark):
     assert Counter(got) == Counter([(5, 3), (5, 3), (None, 3), (None, None), (3, 3), (9, 9), (9, 9)])
     assert J.jaccard_classes(df.limit(0)).count() == 0
     kept = J.keep_one_each(df.selectExpr("*", "1 as n", "2 as rep")).collect()
-    assert Counter(r.doc_id for r in kept) == Counter([3, 9, None, None]) and kept[0].n == 1
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(3, "A B C D"), (9, None), (9, ""), (None, "x y z")]) and kept[0].n == 1
+    assert J.keep_one_each(df.limit(0)).count() == 0
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    a, b, c = (" ".join(f"{w}{k}" for k in range(40)) for w in "abc")
+    docs = [(5, a), (5, b), (5, b), (5, c), (7, a + " x"), (8, b + " y"), (8, "other words here"), (2, c + " z"), (9, c)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("doc_id", "text", "1 as __text", "2 as __n", "3 as rep").repartition(4)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in J.jaccard_classes(df, 3, 80).collect())
+    assert got == Counter([(5, 38, 5, 1), (5, 38, 5, 1), (5, 38, 5, 1), (7, 39, 5, 1), (8, 39, 5, 1), (8, 1, 8, 0), (5, 38, 2, 1), (9, 38, 2, 1), (2, 39, 2, 1)])
+    kept = J.keep_one_each(df, 3, 80).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(5, a), (5, b), (8, "other words here"), (2, c + " z")])
+    assert {(r["__text"], r["__n"], r.rep) for r in kept} == {(1, 2, 3)}
 
 
 def test_t_occurrence():
