@@ -35,16 +35,32 @@ WITH d AS (
 ), b AS (
   SELECT CAST(item_id AS VARCHAR) AS item_id, w, least(10, len(w)) AS wide FROM (SELECT item_id, regexp_extract_all({_LOWER}, '{_WORDS}') AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) > 0
 ), wins AS (
-  SELECT DISTINCT item_id, wide, array_to_string(w[i:i + wide - 1], ' ') AS k FROM (SELECT item_id, w, wide, unnest(range(1, len(w) - wide + 2)) AS i FROM b)
-), spots AS (
-  SELECT rid, wide, i, array_to_string(w[i:i + wide - 1], ' ') AS k FROM (SELECT rid, w, wide, unnest(range(1, len(w) - wide + 2)) AS i FROM d, (SELECT DISTINCT wide FROM wins) WHERE len(w) >= wide)
-), hits AS (
-  SELECT rid, i, wide, item_id FROM spots JOIN wins USING (wide, k)
+  SELECT DISTINCT item_id, wide, w[i:i + wide - 1] AS k FROM (SELECT item_id, w, wide, unnest(range(1, len(w) - wide + 2)) AS i FROM b)
+), numbered AS (
+  SELECT k, wide, row_number() OVER () AS wid FROM (SELECT DISTINCT k, wide FROM wins)
+), terms AS (
+  SELECT wid, wide, unnest(range(0, wide)) AS off, unnest(k) AS t FROM numbered
+), tokens AS (
+  SELECT rid, unnest(range(0, len(w))) AS pos, unnest(w) AS t FROM d
+), whole AS (
+  SELECT rid, wid FROM (SELECT DISTINCT rid, t FROM tokens) JOIN (SELECT DISTINCT wid, t FROM terms) USING (t) JOIN (SELECT wid, count(DISTINCT t) AS n FROM terms GROUP BY wid) USING (wid) GROUP BY rid, wid, n HAVING count(*) = n
+), placed AS (
+  SELECT rid, wid, wide, off, pos - off AS p FROM whole JOIN terms USING (wid) JOIN tokens USING (rid, t)
+), exact AS (
+  SELECT rid, wid, wide, p FROM placed GROUP BY ALL HAVING count(DISTINCT off) = wide
+), near AS (
+  SELECT rid, wid, wide, p FROM (SELECT rid, wid, wide, off, unnest([p - 1, p, p + 1]) AS p FROM placed) GROUP BY ALL HAVING count(DISTINCT off) = wide
 ), words AS (
-  SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + wide)) AS p FROM (SELECT DISTINCT rid, i, wide FROM hits)) GROUP BY rid
+  SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + wide)) AS q FROM exact) GROUP BY rid
+), near_words AS (
+  SELECT rid, count(DISTINCT q) AS n_near_words FROM (SELECT rid, unnest(range(p, p + wide)) AS q FROM near) JOIN d USING (rid) WHERE q BETWEEN 0 AND len(w) - 1 GROUP BY rid
+), exact_items AS (
+  SELECT DISTINCT rid, item_id FROM exact JOIN numbered USING (wid) JOIN wins USING (k)
 ), items AS (
-  SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT rid, item_id FROM hits) GROUP BY rid
+  SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM exact_items GROUP BY rid
+), near_items AS (
+  SELECT rid, count(*) AS n_near FROM (SELECT rid, item_id FROM near JOIN numbered USING (wid) JOIN wins USING (k) EXCEPT SELECT rid, item_id FROM exact_items) GROUP BY rid
 )
-SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near, coalesce(n_near_words, 0) AS n_near_words
+FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid) LEFT JOIN near_items USING (rid) LEFT JOIN near_words USING (rid)
 """
