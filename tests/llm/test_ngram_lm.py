@@ -1,4 +1,5 @@
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -6,7 +7,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from folioflux.llm.ngram_lm import FOLDS, HELD, discounts, op2_scores
+from folioflux.llm import ngram_lm
+from folioflux.llm.ngram_lm import FOLDS, HELD, op2_scores, score, train
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -29,8 +31,7 @@ def brute(docs):
         total[a] += k
         kinds[a][min(k, 3)] += 1
         cont[b] += 1
-    d = discounts(np.array([sum(1 for x in pairs.values() if x == k) for k in (1, 2, 3, 4)]))
-    e = discounts(np.array([sum(1 for x in cont.values() if x == k) for k in (1, 2, 3, 4)]))
+    d, e = by_formula(pairs), by_formula(cont)
     ct = sum(cont.values())
     free = sum(e[min(x, 3)] for x in cont.values()) / ct
     out = []
@@ -46,6 +47,17 @@ def brute(docs):
     return out
 
 
+def by_formula(counts):
+    """Chen and Goodman's D1, D2, D3+, with the limits that the model sets."""
+    n = Counter(counts.values())
+    y = n[1] / (n[1] + 2 * n[2]) if n[1] or n[2] else 0.5
+    out = [0.0]
+    for k in (1, 2, 3):
+        d = k - (k + 1) * y * n[k + 1] / n[k] if n[k] else 0.5
+        out.append(min(max(d, 0.05), k - 0.05))
+    return out
+
+
 def _same(got, want):
     key = lambda r: (r[0] is None, r[0] or 0, r[2], r[5])
     for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
@@ -59,6 +71,20 @@ def test_small_corpus_against_brute_force(spark):
     _same(op2_scores(spark.createDataFrame(docs, "doc_id long, text string")).collect(), brute(docs))
 
 
+def test_few_maps_are_kept_and_a_lost_shard_is_an_error(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(60).cache()
+    model = train(df, shard_bytes=1000)
+    whole = {r.doc_id: r.score for r in score(df, model).collect()}
+    monkeypatch.setattr(ngram_lm, "OPEN_SHARDS", 3)
+    (block,) = ngram_lm.text_blocks(iter([df.toArrow().to_batches()[0]]), limit=1 << 40)
+    assert model.score_block(block)["score"] == pytest.approx([whole[k] for k in block.ids.to_pylist()])
+    assert len(model._held) == 3
+    model._held.clear()
+    os.remove(f"{model.folder.removeprefix('file://')}/pairs-{np.flatnonzero(model.stored['pairs'])[0]}")
+    with pytest.raises(FileNotFoundError):
+        model.score_block(block)
+
+
 def test_table_against_brute_force(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     _same(op2_scores(df).collect(), brute([tuple(r) for r in df.collect()]))
