@@ -397,8 +397,10 @@ def _families(routes: DataFrame) -> DataFrame:
     edges = routed.join(least, "route").where("rep <> low").select(F.col("low").alias("u"), F.col("rep").alias("v"))
     family = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("family"))
     cells = F.greatest(F.ceil(F.count(F.lit(1)) / CELL_SETS), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("bigint")
-    sizes = family.join(routes.select("rep", "n"), "rep").groupBy("family").agg(cells.alias("cells"))
-    return family.join(sizes, "family")
+    # Only families of several cells are looked up; where they are few, no family is moved.
+    cut = family.join(routes.select("rep", "n"), "rep").groupBy("family").agg(cells.alias("cells")).where("cells > 1").checkpoint()
+    few = cut.count() <= SENT_IDS
+    return family.join(F.broadcast(cut) if few else cut, "family", "left").withColumn("cells", F.coalesce("cells", F.lit(1).cast("bigint")))
 
 
 def _search(blocks: DataFrame, percent: int) -> DataFrame:
