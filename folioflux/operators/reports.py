@@ -37,8 +37,10 @@ def ranked(rows: DataFrame, score: str, seq: str) -> DataFrame:
     the ranges before, so no task sorts the whole table.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    can = rows.sparkSession.sparkContext.getCheckpointDir()
+    rows = rows.checkpoint() if can else rows.persist()  # placing by range reads its rows twice
     placed = rows.withColumn("__s", F.coalesce(F.col(score).cast("double"), F.lit(0.0))).repartitionByRange(parts, F.desc("__s"), F.asc(seq)).withColumn("__part", F.spark_partition_id())
-    placed = placed.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else placed.persist()
+    placed = placed.checkpoint() if can else placed.persist()
     sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("__part", before.alias("__before"))
@@ -47,12 +49,11 @@ def ranked(rows: DataFrame, score: str, seq: str) -> DataFrame:
 
 
 def theme_clusters(rows: DataFrame, item: str, theme: str = "theme", rank: str = "rank") -> DataFrame:
-    """Members of each theme in rank order; themes by their first member."""
-    return rows.groupBy(theme).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(rank, item))), lambda x: x[item]).alias("members"),
-        F.min(rank).alias("first_rank"),
-        F.count(F.lit(1)).alias("n"),
-    )
+    """A row for each member of a theme: its place in it, and the theme's first rank and
+    size.  A theme of any size is many rows, never one array."""
+    place = Window.partitionBy(theme).orderBy(rank)
+    sizes = rows.groupBy(theme).agg(F.min(rank).alias("first_rank"), F.count(F.lit(1)).alias("n"))
+    return rows.select(theme, item, rank, F.row_number().over(place).cast("bigint").alias("place")).join(sizes, theme)
 
 
 def supporting_order(date: Column, title: Column, seq: Column) -> list[Column]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from folioflux.functions.similarity import best_form_score
 from folioflux.functions.text import alnum_key
 from folioflux.functions.vectors import cosine, mean_vector
-from folioflux.operators import dedup, graph
+from folioflux.operators import dedup, graph, retrieval
 from folioflux.plans.registry import query, table
 
 _EDGES = """edges AS (
@@ -91,9 +91,15 @@ def node_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.merge_nodes(rows).select("id", "name", F.size("aliases").cast("bigint").alias("n_aliases"))
 
 
-@query("node_edge_upsert", "SELECT l_suppkey AS src, l_returnflag AS rel, l_partkey AS dst, max(l_quantity) AS confidence, max_by(l_linestatus, (l_quantity, -(l_orderkey * 10 + l_linenumber))) AS quote FROM lineitem GROUP BY ALL")
+@query(
+    "node_edge_upsert",
+    """WITH r AS (SELECT l_suppkey AS src, l_returnflag AS rel, l_partkey AS dst, l_quantity AS c, CASE WHEN l_linenumber % 3 <> 0 THEN l_linestatus || l_linenumber END AS q, l_orderkey * 10 + l_linenumber AS seq FROM lineitem),
+ b AS (SELECT *, coalesce(c > max(c) OVER (PARTITION BY src, rel, dst ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS beats FROM r)
+ SELECT src, rel, dst, max(c) AS confidence, coalesce(max_by(q, seq) FILTER (beats AND q IS NOT NULL), min_by(q, seq) FILTER (q IS NOT NULL)) AS quote FROM b GROUP BY ALL""",
+)
 def node_edge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_returnflag").alias("rel"), F.col("l_partkey").alias("dst"), F.col("l_quantity").alias("confidence"), F.col("l_linestatus").alias("quote"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    quote = F.when(F.col("l_linenumber") % 3 != 0, F.concat("l_linestatus", F.col("l_linenumber").cast("string")))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_returnflag").alias("rel"), F.col("l_partkey").alias("dst"), F.col("l_quantity").alias("confidence"), quote.alias("quote"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
     return graph.merge_edges(rows)
 
 
@@ -140,12 +146,13 @@ def mean_vector_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.join(means, "label").select("vec_id", F.round(cosine(F.col("embedding"), F.col("__m")), 5).alias("score"))
 
 
-@query("kb_neighbor_note", "SELECT a.vec_id, round(max(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 5) AS best FROM embeddings a JOIN embeddings b ON a.label <> b.label AND a.vec_id % 50 = b.vec_id % 50 GROUP BY a.vec_id")
+@query("kb_neighbor_note", "SELECT a.vec_id, round(max(round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6)), 5) AS best FROM embeddings a JOIN embeddings b ON a.label <> b.label WHERE a.vec_id % 50 = 0 GROUP BY a.vec_id")
 def kb_neighbor_note(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "embeddings").withColumn("block", F.col("vec_id") % 50)
-    b = a.select("block", F.col("label").alias("label2"), F.col("embedding").alias("other"))
-    near = a.join(b, "block").where("label <> label2")
-    return near.groupBy("vec_id").agg(F.round(F.max(cosine(F.col("embedding"), F.col("other"))), 5).alias("best"))
+    """Vectors with an id divisible by 50 ask all vectors of other labels."""
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "label")
+    best = retrieval.best_apart(vectors, asked, "vec_id", "embedding", "label")
+    return best.select(F.col("query_id").alias("vec_id"), F.round("score", 5).alias("best"))
 
 
 @query("entity_resolution_outcomes", None)

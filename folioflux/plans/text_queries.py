@@ -130,9 +130,9 @@ def ranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(spark, sf_dir).select("doc_id", "composite_score", "theme", "rank")
 
 
-@query("theme_clusters", f"SELECT theme, count(*) AS n, min(rank) AS first_rank, md5(string_agg(doc_id, ',' ORDER BY rank)) AS members FROM (SELECT *, row_number() OVER (ORDER BY composite_score DESC, doc_id) AS rank FROM ({_RANKED})) GROUP BY theme")
+@query("theme_clusters", f"SELECT theme, doc_id, rank, row_number() OVER (PARTITION BY theme ORDER BY rank) AS place, min(rank) OVER (PARTITION BY theme) AS first_rank, count(*) OVER (PARTITION BY theme) AS n FROM (SELECT *, row_number() OVER (ORDER BY composite_score DESC, doc_id) AS rank FROM ({_RANKED}))")
 def theme_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.theme_clusters(_ranked(spark, sf_dir), "doc_id").select("theme", "n", "first_rank", F.md5(F.array_join(F.transform("members", lambda m: m.cast("string")), ",")).alias("members"))
+    return reports.theme_clusters(_ranked(spark, sf_dir), "doc_id")
 
 
 _BUCKETS = ["evaluated", "manual_review", "excluded", "watchlist"]
@@ -294,19 +294,19 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _COS = "list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
-_VEC = f"SELECT q.vec_id AS query_id, v.vec_id, round({_COS}, 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id < 40"
+_VEC = f"SELECT q.vec_id AS query_id, v.vec_id, round({_COS}, 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0"
 
 
 @query("cosine_topk", f"SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM ({_VEC}) QUALIFY rank < 5")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    asked = vectors.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return retrieval.vector_search(vectors, asked, 5).select("query_id", "vec_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("rrf_fusion", _BM25 + f", v AS (SELECT query_id, vec_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM ({_VEC})), legs AS (SELECT query_id, doc_id, rank FROM v WHERE rank < 8 UNION ALL SELECT query_id, doc_id, rank FROM r WHERE rank < 8) SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS rrf FROM legs GROUP BY ALL")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    asked = vectors.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     dense = retrieval.vector_search(vectors, asked, 8).withColumnRenamed("vec_id", "doc_id")
     return retrieval.fuse([dense, _bm25(spark, sf_dir, 8)], ["query_id"], "doc_id")

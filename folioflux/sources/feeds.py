@@ -13,6 +13,7 @@ from folioflux.functions.dates import best_harvest_date, date_of_parts, in_windo
 from folioflux.functions.text import collapse, normal_doi, strip_tags
 from folioflux.operators.dedup import keyed_dedup, record_key
 from folioflux.operators.documents import rebuilt_text
+from folioflux.sources.sinks import current
 
 CANDIDATE = ["title", "doi", "authors", "venue", "url", "abstract", "date", "date_field", "record_type", "open_access", "source"]
 
@@ -136,7 +137,9 @@ def read_manifests(spark: SparkSession, path: str, include_expired: bool = False
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of a JSON-lines graph; broken lines are skipped."""
+    """Nodes and edges of a JSON-lines graph, of its last version if it has several;
+    broken lines are skipped."""
+    path = current(spark, path) or path
     schema = "kind string, id string, type string, name string, aliases array<string>, src string, rel string, dst string, confidence double, quote string"
     rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
     return rows.where("kind = 'node'").select("id", "type", "name", "aliases"), rows.where("kind = 'edge'").select("src", "rel", "dst", "confidence", "quote")

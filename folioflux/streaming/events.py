@@ -6,6 +6,8 @@ given a watermark.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,26 +39,42 @@ def split_late(events: DataFrame, days: int) -> tuple[DataFrame, DataFrame]:
     return marked.where("not __late").drop("__late", "__newest"), marked.where("__late").drop("__late", "__newest")
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Process what is there and stop; the result as an in-memory table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, name: str, folder: str | None = None, mode: str = "complete") -> DataFrame:
+    """Process what is there and stop; the result as a table below ``folder``.
+
+    Result and checkpoint lie in the folder that executors share: the one named, or one
+    of its own below ``spark.checkpoint.dir``.
+    """
+    from folioflux.sources.sinks import read_table, swap_in
+
+    spark = stream.sparkSession
+    root = folder or f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    write = lambda batch, _: swap_in(batch, f"{root}/result")
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/progress").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return read_table(spark, f"{root}/result", stream.schema)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a local folder of its own where a local master has none."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (found or "file:///tmp/folioflux-streams").rstrip("/")
 
 
 def upsert_stream(stream: DataFrame, path: str, keys: list[str], checkpoint: str) -> None:
-    """Keep the last row of each key in a Parquet table, batch by batch, each batch once."""
-    from folioflux.sources.sinks import latest, swap_in, upsert
+    """Keep the last row of each key in a table (``sinks.read_table``), batch by batch.
+
+    A batch writes a new version, so a crash leaves the one before; a batch that is
+    repeated gives the same rows, as an older row never replaces a newer one.
+    """
+    from folioflux.sources.sinks import latest, read_table, swap_in
 
     def apply(batch: DataFrame, _: int) -> None:
         fresh = latest(batch, keys, [F.desc("ts")])
-        try:
-            old = batch.sparkSession.read.schema(batch.schema).parquet(path)
-        except Exception as missing:  # the first batch
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            old = batch.limit(0)
-        swap_in(upsert(old, fresh, keys), path)
+        old = read_table(batch.sparkSession, path, batch.schema)
+        swap_in(latest(old.unionByName(fresh), keys, [F.desc("ts")]), path)
 
     stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 

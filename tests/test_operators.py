@@ -1,15 +1,17 @@
 """Operators on small tables with answers from sequential Python."""
 
+import os
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from folioflux.functions.similarity import token_set
 from folioflux.operators import dedup, documents, graph, reports, retrieval, rules
 from folioflux.plans import graph_queries, table_queries
-from folioflux.sources import feeds, sinks
+from folioflux.sources import feeds, parsing, sinks
 from folioflux.streaming import events
 
 
@@ -155,7 +157,7 @@ def test_bridge_needs_both_directions(spark):
     assert path.path == ["a", "idea", "b"] and path.confidences == [0.9, 0.5]
     assert graph.simple_paths(edges, ids("a"), ids("b"), 1).count() == 0
     with pytest.raises(ValueError):
-        graph.simple_paths(edges, ids("a"), ids("b"), 9)
+        graph.simple_paths(edges, ids("a"), ids("b"), 0)
     nodes = spark.createDataFrame([("a", "Grant"), ("b", "Grant"), ("idea", "Idea")], "id string, type string")
     (best,) = graph.connect(nodes, edges, ids("a"), ids("b")).collect()
     assert best.kind == "shared-idea" and best.strength == pytest.approx(0.45 / 2 + 0.3 * 0.7 + 0.15)
@@ -173,7 +175,10 @@ def test_node_and_edge_merge(spark):
     assert (node.name, node.aliases) == ("Name", ["x", "Other", "y"])
     rows = [("a", "r", "b", 0.4, "q1", 1), ("a", "r", "b", 0.9, None, 2), ("a", "r", "b", 0.6, "q2", 3)]
     (edge,) = graph.merge_edges(spark.createDataFrame(rows, "src string, rel string, dst string, confidence double, quote string, seq long")).collect()
-    assert (edge.confidence, edge.quote) == (0.9, "q2")
+    assert (edge.confidence, edge.quote) == (0.9, "q1")
+    rows = [("a", "r", "b", 0.5, None, 1), ("a", "r", "b", 0.4, "q1", 2), ("a", "r", "b", 0.6, "q2", 3), ("a", "r", "b", 0.6, "q3", 4)]
+    (edge,) = graph.merge_edges(spark.createDataFrame(rows, "src string, rel string, dst string, confidence double, quote string, seq long")).collect()
+    assert (edge.confidence, edge.quote) == (0.6, "q2")
 
 
 def test_orientation_and_validation(spark):
@@ -305,8 +310,13 @@ def test_stores(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [(1, "a"), (2, "B"), (3, "C")]
     path = str(tmp_path / "t")
     sinks.swap_in(got, path)
-    sinks.swap_in(spark.read.parquet(path).where("k < 3"), path)
-    assert spark.read.parquet(path).count() == 2
+    sinks.swap_in(sinks.read_table(spark, path).where("k < 3"), path)
+    assert sinks.read_table(spark, path).count() == 2
+    os.mkdir(f"{path}/v000000000002")  # a writer that died before it finished
+    assert sinks.read_table(spark, path).count() == 2
+    sinks.swap_in(new, path)
+    assert sinks.read_table(spark, path).count() == 2 and len(sinks.versions(spark, path)) == 2
+    assert sinks.read_table(spark, str(tmp_path / "none"), "k long").count() == 0
     nodes = spark.createDataFrame([("n", "T", "N", ["x"])], "id string, type string, name string, aliases array<string>")
     edges = spark.createDataFrame([("n", "r", "m", 0.5, None)], "src string, rel string, dst string, confidence double, quote string")
     graph_path = str(tmp_path / "g")
@@ -324,4 +334,65 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, live.collect()))
     target = str(tmp_path / "latest")
     events.upsert_stream(events.read_events(spark, "/root/testdata/sf0.001"), target, ["user_id"], str(tmp_path / "cp"))
-    assert spark.read.parquet(target).count() == rows.select("user_id").distinct().count()
+    assert sinks.read_table(spark, target).count() == rows.select("user_id").distinct().count()
+
+
+def test_bundles_expire(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", 2.0)], "ord int, line string, k double")
+    folder = str(tmp_path / "runs")
+    for run_id, made in (("r1", "2024-01-01T00:00:00"), ("r2", "2024-03-01T00:00:00")):
+        out = sinks.write_bundle({"report.md": rows, "rows.json": rows.drop("line"), "rows.csv": rows}, folder, run_id, "2024-01", made)
+        assert [a["name"] for a in out["artifacts"]] == ["report.md", "rows.csv", "rows.json"]
+    os.mkdir(f"{folder}/r3")
+    assert sinks.prune_expired(spark, folder, "2024-02-15") == ["r1"]
+    assert sorted(os.listdir(folder)) == ["r2", "r3"]
+    assert sinks.prune_expired(spark, str(tmp_path / "none"), "2024-02-15") == []
+    with pytest.raises(ValueError):
+        sinks.write_bundle({"a": rows}, folder, "../x", "2024-01", "2024-01-01T00:00:00")
+
+
+def test_parsers_by_extension(spark, tmp_path):
+    (tmp_path / "Sub").mkdir()
+    for name, body in {"a.md": "Lead\n====\nx", "Sub/b.html": "<title>T</title><p>x &amp; y</p>", "c": "", "2024-05-06 d.txt": "long " * 60}.items():
+        (tmp_path / name).write_text(body)
+    got = {r.source_slug: r for r in parsing.parse(parsing.read_files(spark, str(tmp_path))).collect()}
+    assert got["a"].title == "Lead" and got["b"].markdown == "x & y" and got["c"].markdown == "" and got["c"].title == "c"
+    parsing.register("md", lambda rows: parsing.parse_text(rows).withColumn("title", F.lit("other")), "mine")
+    rows = spark.createDataFrame([("/x.md", "# H"), ("/y.md", None)], "path string, content string")
+    assert {r.title for r in parsing.parse(rows).collect()} == {"other"}
+    assert {r.title for r in parsing.parse(rows, prefer="parse_markdown").collect()} == {"H", "y"}
+    parsing._PARSERS["md"].pop("mine")
+
+
+def test_longer_walks(spark):
+    chain = spark.createDataFrame([(f"n{k}", "r", f"n{k + 1}", 0.5) for k in range(7)], "src string, rel string, dst string, confidence double")
+    one = lambda x: spark.createDataFrame([(x,)], "id string")
+    assert [r.hops for r in graph.simple_paths(chain, one("n0"), one("n6"), 6).collect()] == [6]
+    assert {r.id: r.depth for r in graph.bfs(chain, one("n0"), 6).collect()} == {f"n{k}": k for k in range(7)}
+
+
+def test_paths_of_a_pair_and_their_evidence(spark):
+    edges = spark.createDataFrame([("a", "r", "b", "s1", "q" * 130 + "1"), ("c", "r", "b", "s1", "q" * 130 + "2"), ("b", "t", "c", "s2", None), ("a", "r", "c", None, "x")], "src string, rel string, dst string, source_slug string, quote string")
+    paths = spark.createDataFrame([("a", "c", ["a", "b", "c"], 0.5, 2, 0), ("a", "c", ["a", "c"], 0.5, 1, 0), ("a", "c", ["a", "d", "c"], 0.9, 2, 0)], "start string, end string, path array<string>, strength double, hops int, hub_cost int")
+    got = [r.path for r in graph.ranked_paths(paths, k=2).orderBy("rank").collect()]
+    assert got == [["a", "d", "c"], ["a", "c"]]
+    found = {(r.path_key, r.hop, r.source_slug) for r in graph.edge_evidence(paths, edges).collect()}
+    assert found == {("a>b>c", 0, "s1"), ("a>b>c", 1, "s2")}
+
+
+def test_nearest_vectors_in_blocks(spark, monkeypatch):
+    from folioflux.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    r = random.Random(3)
+    rows = [(k, [r.gauss(0, 1) for _ in range(4)], k % 2) for k in range(40)] + [(40, None, 0), (41, [0.0] * 4, 1), (42, [1.0, 2.0], 0)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, side int").repartition(3)
+    asked = vectors.where("vec_id % 9 = 0").selectExpr("vec_id as query_id", "embedding as vector", "side")
+    unit = lambda v: np.zeros(4) if v is None or len(v) != 4 else np.array(v) / (np.linalg.norm(v) or 1)
+    for apart in (None, "side"):
+        got = {}
+        for x in retrieval.vector_search(vectors, asked, 3, apart=apart).orderBy("query_id", "rank").collect():
+            got.setdefault(x.query_id, []).append((x.vec_id, x.score))
+        for q in range(0, 43, 9):
+            own = sorted(((-round(float(unit(rows[q][1]) @ unit(v)), 6), k) for k, v, side in rows if not apart or side != rows[q][2]))[:3]
+            assert got[q] == [(k, -s + 0.0) for s, k in own]
