@@ -46,7 +46,7 @@ CELL_SETS, CELL_SHINGLES = 700, 400_000
 #: Ids of sets to be searched that may be sent to every task: 8 MB; more are joined.
 SENT_IDS = 1_000_000
 #: Shingles that a shard of the two routing steps stands for.
-SHARD_SHINGLES = 1_500_000
+SHARD_SHINGLES = 600_000
 #: Weight of probing against merging in DivideSkip's choice of L.
 MU = 0.02
 #: Families of more sets are first linked along their order, to leave less to search.
