@@ -353,7 +353,7 @@ def test_bundles_expire(spark, tmp_path):
 
 def test_parsers_by_extension(spark, tmp_path):
     (tmp_path / "Sub").mkdir()
-    for name, body in {"a.md": "Lead\n====\nx", "Sub/b.html": "<title>T</title><p>x &amp; y</p>", "c": "", "2024-05-06 d.txt": "long " * 60}.items():
+    for name, body in {"a.md": "Lead\n====\nx", "Sub/b.html": "<head><title>T</title></head><p>x &amp; y</p>", "c": "", "2024-05-06 d.txt": "long " * 60}.items():
         (tmp_path / name).write_text(body)
     got = {r.source_slug: r for r in parsing.parse(parsing.read_files(spark, str(tmp_path))).collect()}
     assert got["a"].title == "Lead" and got["b"].markdown == "x & y" and got["c"].markdown == "" and got["c"].title == "c"
