@@ -72,8 +72,12 @@ for _ext, _parser in (("txt", parse_text), ("md", parse_markdown), ("markdown",
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of the files of a folder, each a row."""
-    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("path"), F.col("value").alias("content"))
+    """(path, content) of the files of a folder, each a row.
+
+    Spark's readers leave out files of length 0, so these give no row.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", F.col("content").cast("string").alias("content"))
 
 
 def parse(rows: DataFrame, prefer: str | None = None) -> DataFrame:
