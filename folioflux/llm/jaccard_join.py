@@ -302,12 +302,16 @@ def _sets(docs: DataFrame, words: int, whole: bool = False) -> DataFrame:
 
 
 def _own_sets(block: TextBlock, words: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The block's different sets, and a row (f1, f2, n) for each."""
+    """The block's different sets, and a mark (f1, half of f2 with n) of 16 bytes for each.
+
+    The 96 bits of hashes and the size stand for a set on its way through the routing.
+    """
     seen: dict[tuple[int, int, int], np.ndarray] = {}
     for own in shingle_sets(block, words):
         if len(own):
             seen.setdefault((*_fingerprint(own), len(own)), own)
-    return list(seen.values()), np.array(list(seen), np.int64).reshape(-1, 3)
+    marks = np.array(list(seen), np.int64).reshape(-1, 3)
+    return list(seen.values()), np.stack([marks[:, 0], marks[:, 1] << 32 | marks[:, 2]], axis=1)
 
 
 def _by_shingle(docs: DataFrame, words: int, percent: int, shards: int) -> DataFrame:
@@ -352,11 +356,12 @@ def _common(by_shingle: DataFrame, shards: int) -> DataFrame:
         heads = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
         df = np.repeat(np.diff(heads), np.diff(heads))
         keep = df > 1
-        key, owner, df = key[keep], owner[keep], np.minimum(df[keep], (1 << 32) - 1).astype(np.uint32)
+        # Any order of shingles that all sets share will do, so thousandths of log2 are enough.
+        key, owner, df = key[keep], owner[keep], (1000 * np.log2(df[keep])).astype(np.uint16)
 
         def pack(at: np.ndarray) -> bytes:
             here, local = np.unique(owner[at], return_inverse=True)
-            return packed(key=key[at], owner=local.astype(np.uint32), df=df[at], marks=marks[here])
+            return packed(key=key[at], owner=local.astype(np.uint16 if len(here) < 1 << 16 else np.uint32), df=df[at], marks=marks[here])
 
         out = list(messages(mix(marks[owner, 0].view(np.uint64)) % np.uint64(shards), "set", shards, pack)) if len(key) else []
         return pa.Table.from_batches(out, pa.schema([("shard", pa.int64()), ("kind", pa.string()), ("body", pa.binary())]))
@@ -364,7 +369,7 @@ def _common(by_shingle: DataFrame, shards: int) -> DataFrame:
     return by_shingle.groupBy("shard").applyInArrow(merge, MESSAGE)
 
 
-ROUTE_SCHEMA = "f1 bigint, f2 bigint, n bigint, keys binary, routes array<bigint>"
+ROUTE_SCHEMA = "f1 bigint, mark bigint, keys binary, routes array<bigint>"
 
 
 def _routes(common: DataFrame, percent: int) -> DataFrame:
@@ -378,12 +383,12 @@ def _routes(common: DataFrame, percent: int) -> DataFrame:
         heads = np.append(np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])), len(owner))
         rows = []
         for a, b in zip(heads[:-1], heads[1:], strict=True):
-            f1, f2, n = marks[owner[a]].tolist()
-            t = least_shared(n, percent)
+            f1, mark = marks[owner[a]].tolist()
+            t = least_shared(mark & 0xFFFFFFFF, percent)
             if b - a >= t:
-                rows.append((f1, f2, n, key[a:b].tobytes(), key[a : b - t + 1].view(np.int64).tolist()))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+                rows.append((f1, mark, key[a:b].tobytes(), key[a : b - t + 1].view(np.int64).tolist()))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
         return pa.table({f.split()[0]: pa.array(list(c), t) for f, c, t in zip(ROUTE_SCHEMA.split(", "), columns, kinds, strict=True)})
 
     return common.groupBy("shard").applyInArrow(merge, ROUTE_SCHEMA)
@@ -484,7 +489,8 @@ def _classes(docs: DataFrame, words: int, percent: int, count_links: bool) -> Da
     total = reps.agg(F.sum("n")).first()[0] or 0
     shards = max(8, -(-int(total * (1 - percent / 100 + SHARED_PART)) // SHARD_SHINGLES))
     routed = _routes(_common(_by_shingle(docs, words, percent, shards), shards), percent)
-    routes = routed.join(reps.select(*FINGERPRINT, "rep", "least"), FINGERPRINT).checkpoint()
+    marked = reps.select(*FINGERPRINT, "rep", "least", F.shiftleft("f2", 32).bitwiseOR(F.col("n")).alias("mark"))
+    routes = routed.join(marked, ["f1", "mark"]).drop("mark").checkpoint()
     family = _families(routes).checkpoint()
     # The few sets left come from their texts again, which costs less than moving all.
     of_rep = routes.select(*FINGERPRINT, "rep", "least", "keys").join(family, "rep")
