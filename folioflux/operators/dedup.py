@@ -2,15 +2,17 @@
 
 Greedy deduplication keeps a row unless an *earlier survivor* matches it, so it isn't a
 search for connected components.  The relation between rows is static, which lets one
-pair table be built first and decided in rounds: a row without an undecided or surviving
+table of keys be built first and decided in rounds: a row without an undecided or surviving
 earlier match survives; a row whose least earlier match is a survivor is dropped into it.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
+from functools import reduce
 from itertools import batched
 
 import numpy as np
@@ -19,9 +21,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflux.functions.similarity import ratio_bound, sequence_ratio, token_set
-from folioflux.functions.text import normal_doi, title_key
+from folioflux.functions.text import casefold, normal_doi, title_key
 
-MAX_ROUNDS = 200
+#: Open memberships that one task decides in order.
+SETTLE = 200_000
 #: Artefacts that one pass over the articles searches, and that one search takes together.
 ASKED, TOGETHER = 4096, 64
 
@@ -52,74 +55,109 @@ def key_members(df: DataFrame, seq: str, keys: list[Column]) -> DataFrame:
     return df.select(F.col(seq).alias("seq"), F.explode(named).alias("key")).where("key is not null")
 
 
-def greedy_exact_dedup(df: DataFrame, seq: str, keys: list[Column]) -> DataFrame:
-    """``df`` with ``kept_seq``: the row itself, or the earliest survivor that shares a key.
+def greedy(rows: DataFrame, owns: DataFrame, listens: DataFrame, settle: int = SETTLE) -> DataFrame:
+    """(seq, kept) for each row of ``rows`` (seq), by the sequential rule.
 
-    Rounds work on (key, row) memberships, so a key with many rows costs one row each,
-    and all of them fall in the round after its first row survives.  Null keys match
-    nothing.
+    ``owns`` and ``listens`` are (key, seq): a row falls to the earliest survivor before
+    it that owns a key it listens to, and survives where there is none.  A key costs a
+    row for each membership, never the pairs of its rows.  A round decides at least the
+    first open row of each chain; once at most ``settle`` memberships are open, one task
+    decides the rest in order.  There is no last round, so chains of any length end.
     """
-    member = key_members(df, seq, keys).distinct().checkpoint()
-    decided = df.select(F.col(seq).alias("seq")).join(member.select("seq").distinct(), "seq", "left_anti").select("seq", F.col("seq").alias("kept"))
-    open_rows = member
-    owners: DataFrame | None = None
-    for _ in range(MAX_ROUNDS):
-        if open_rows.isEmpty():
+    owns, listens = (x.where("key is not null and seq is not null").distinct().checkpoint() for x in (owns, listens))
+    asking = listens.select("seq").distinct()
+    free = rows.select("seq").join(asking, "seq", "left_anti")
+    parts = [free.select("seq", F.col("seq").alias("kept"))]
+    owners = owns.join(free, "seq", "left_semi").groupBy("key").agg(F.min("seq").alias("owner")).checkpoint()
+    owns = owns.join(asking, "seq", "left_semi").checkpoint()
+    while not listens.isEmpty():
+        if listens.count() + owns.count() <= settle:
+            parts.append(_in_order(owns, listens.join(owners, "key", "left")))
             break
-        least = open_rows.groupBy("key").agg(F.min("seq").alias("least"))
-        looked = open_rows.join(least, "key")
-        if owners is not None:
-            looked = looked.join(owners, "key", "left")
-        else:
-            looked = looked.withColumn("owner", F.lit(None).cast("bigint"))
-        state = looked.groupBy("seq").agg(F.min("least").alias("least"), F.min("owner").alias("owner"))
-        # A row falls to its earliest owner once no undecided row before that could own it.
-        done = state.where("least = seq or least > owner").select("seq", F.coalesce("owner", "seq").alias("kept")).checkpoint()
-        decided = decided.unionByName(done)
-        fresh = open_rows.join(done.where("seq = kept"), "seq").select("key", F.col("seq").alias("owner"))
-        owners = (fresh if owners is None else owners.unionByName(fresh)).groupBy("key").agg(F.min("owner").alias("owner")).checkpoint()
-        open_rows = open_rows.join(done, "seq", "left_anti").checkpoint()
-    else:
-        raise RuntimeError(f"not settled after {MAX_ROUNDS} rounds")
-    return df.join(decided.select(F.col("seq").alias(seq), F.col("kept").alias("kept_seq")), seq)
-
-
-def greedy_from_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+        least = owns.groupBy("key").agg(F.min("seq").alias("least"))
+        known = listens.join(least, "key", "left").join(owners, "key", "left")
+        earlier = lambda c: F.min(F.when(F.col(c) < F.col("seq"), F.col(c)))
+        state = known.groupBy("seq").agg(earlier("least").alias("waiting"), earlier("owner").alias("survivor"))
+        # A row is decided once no open row could own it before its first survivor does.
+        done = state.where("waiting is null or survivor < waiting").select("seq", F.coalesce("survivor", "seq").alias("kept")).checkpoint()
+        parts.append(done)
+        if len(parts) > 16:
+            parts = [reduce(DataFrame.unionByName, parts).checkpoint()]
+        fresh = owns.join(done.where("seq = kept"), "seq", "left_semi").select("key", F.col("seq").alias("owner"))
+        owners = owners.unionByName(fresh).groupBy("key").agg(F.min("owner").alias("owner")).checkpoint()
+        owns, listens = (x.join(done, "seq", "left_anti").checkpoint() for x in (owns, listens))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _in_order(owns: DataFrame, listens: DataFrame) -> DataFrame:
+    """The rule as a loop over (key, seq) and (key, seq, owner or null), in one task."""
+    kind = listens.schema["seq"].dataType.simpleString()
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        known = frame[frame["known"]]
+        owners = dict(zip(known["key"], known["owner"], strict=True))
+        own = frame[frame["owning"]].groupby("seq")["key"].agg(list).to_dict()
+        kept = []
+        for seq, keys in frame[~frame["owning"]].groupby("seq")["key"]:
+            owner = min((owners[k] for k in keys if k in owners and owners[k] < seq), default=seq)
+            kept.append((seq, owner))
+            if owner == seq:
+                for k in own.get(seq, ()):
+                    owners[k] = min(seq, owners.get(k, seq))
+        return pd.DataFrame(kept, columns=["seq", "kept"])
+
+    # No nulls: pandas would hold large integers beside them as floats.
+    asked = listens.select("key", "seq", F.coalesce("owner", "seq").alias("owner"), F.col("owner").isNotNull().alias("known"), F.lit(False).alias("owning"))
+    both = asked.unionByName(owns.select("key", "seq", F.col("seq").alias("owner"), F.lit(False).alias("known"), F.lit(True).alias("owning")))
+    return both.groupBy().applyInPandas(work, f"seq {kind}, kept {kind}")
+
+
+def greedy_exact_dedup(df: DataFrame, seq: str, keys: list[Column], settle: int = SETTLE) -> DataFrame:
+    """``df`` with ``kept_seq``: the row itself, or the earliest survivor that shares a key.
+
+    Null keys match nothing.
+    """
+    member = key_members(df, seq, keys).checkpoint()
+    kept = greedy(df.select(F.col(seq).alias("seq")).distinct(), member, member, settle)
+    return df.join(kept.select(F.col("seq").alias(seq), F.col("kept").alias("kept_seq")), seq)
+
+
+def greedy_from_pairs(rows: DataFrame, pairs: DataFrame, settle: int = SETTLE) -> DataFrame:
     """(seq, kept): the sequential rule over a static pair table (lo, hi), lo < hi."""
-    pairs = pairs.select("lo", "hi").distinct().checkpoint()
-    decided = rows.select("seq").join(pairs.select(F.col("hi").alias("seq")), "seq", "left_anti").select("seq", F.col("seq").alias("kept"))
-    open_rows = rows.select("seq").join(pairs.select(F.col("hi").alias("seq")).distinct(), "seq", "left_semi").checkpoint()
-    for _ in range(MAX_ROUNDS):
-        if open_rows.isEmpty():
-            break
-        decided = decided.checkpoint()
-        known = pairs.join(open_rows.select(F.col("seq").alias("hi")), "hi").join(decided.select(F.col("seq").alias("lo"), "kept"), "lo", "left")
-        # The first earlier neighbour that isn't a dropped row decides.
-        state = known.groupBy("hi").agg(
-            F.min(F.when(F.col("kept") == F.col("lo"), F.col("lo"))).alias("survivor"),
-            F.min(F.when(F.col("kept").isNull(), F.col("lo"))).alias("waiting"),
-        )
-        ready = state.where("waiting is null or survivor < waiting").select(F.col("hi").alias("seq"), F.coalesce("survivor", "hi").alias("kept"))
-        decided = decided.unionByName(ready).checkpoint()
-        open_rows = open_rows.join(decided, "seq", "left_anti").checkpoint()
-    else:
-        raise RuntimeError(f"not settled after {MAX_ROUNDS} rounds")
-    return decided
-
-
-def fuzzy_pairs(df: DataFrame, seq: str, title: Column, doi: Column, authors: Column, least: float = 0.92) -> DataFrame:
-    """(lo, hi): equal DOIs, or similar titles with an author in common.
-
-    Authors block the comparison; the length bound goes before the ratio, which takes
-    the later title first.
+    owns = pairs.select(F.col("lo").alias("key"), F.col("lo").alias("seq"))
+    return greedy(rows, owns, pairs.select(F.col("lo").alias("key"), F.col("hi").alias("seq")), settle)
+
+
+def greedy_fuzzy_dedup(df: DataFrame, seq: str, title: Column, doi: Column, authors: Column, least: float = 0.92, settle: int = SETTLE) -> DataFrame:
+    """(seq, kept): rows match by equal DOIs, or by similar titles and an author in common.
+
+    A DOI is a key, and so is a title of an author; a row listens to the similar titles
+    of its authors as well.  Titles are compared once for each author, however many rows
+    bear them, and only within lengths that allow the ratio, which takes the later title
+    first.
+    """
+    names = F.array_distinct(F.transform(F.coalesce(authors, F.array().cast("array<string>")), casefold))
+    slim = df.select(F.col(seq).alias("seq"), title_key(title).alias("t"), normal_doi(doi).alias("d"), names.alias("a")).checkpoint()
+    key = lambda t: F.concat(F.lit("t:"), F.md5(F.concat_ws("\0", "a", t)))
+    titled = slim.select("seq", "t", F.explode("a").alias("a")).where("a is not null and t is not null").checkpoint()
+    own = titled.select(key("t").alias("key"), "seq").unionByName(slim.where("d is not null").select(F.concat(F.lit("doi:"), "d").alias("key"), "seq"))
+    near = titled.join(_near_titles(titled.select("a", "t").distinct(), least), ["a", "t"]).select(key("t2").alias("key"), "seq")
+    return greedy(slim.select("seq").distinct(), own, own.unionByName(near), settle)
+
+
+def _near_titles(titles: DataFrame, least: float) -> DataFrame:
+    """(a, t, t2): other titles of an author whose ratio with ``t`` is ``least`` or more.
+
+    Lengths of such titles differ by a factor of (2 - least) / least at most: they lie in
+    the same band of lengths, or in the next one.
     """
-    slim = df.select(F.col(seq).alias("seq"), title_key(title).alias("t"), normal_doi(doi).alias("d"), F.transform(F.coalesce(authors, F.array().cast("array<string>")), lambda a: F.lower(a)).alias("a"))
-    right = slim.select(*[F.col(c).alias(f"{c}2") for c in slim.columns])
-    by_doi = slim.where("d is not null").join(right, (F.col("d") == F.col("d2")) & (F.col("seq") < F.col("seq2"))).select("seq", "seq2")
-    left_a, right_a = slim.select("seq", "t", F.explode("a").alias("one")), right.select("seq2", "t2", F.explode("a2").alias("one"))
-    near = left_a.join(right_a, "one").where((F.col("seq") < F.col("seq2")) & (ratio_bound(F.col("t2"), F.col("t")) >= least)).select("seq", "seq2", "t", "t2").distinct()
-    by_title = near.where(sequence_ratio(F.col("t2"), F.col("t")) >= least).select("seq", "seq2")
-    return by_doi.unionByName(by_title).distinct().select(F.col("seq").alias("lo"), F.col("seq2").alias("hi"))
+    width = math.log((2 - least) / least) + 1e-9
+    banded = titles.where("t <> ''").withColumn("band", F.floor(F.log(F.char_length("t").cast("double")) / width)).checkpoint()
+    right = banded.select("a", "band", F.col("t").alias("t2"))
+    left = banded.withColumn("band", F.explode(F.array(*[F.col("band") + n for n in (-1, 0, 1)])))
+    near = left.join(right, ["a", "band"]).where((F.col("t") != F.col("t2")) & (ratio_bound(F.col("t"), F.col("t2")) >= least)).select("a", "t", "t2")
+    alike = near.select("t", "t2").distinct().where(sequence_ratio(F.col("t"), F.col("t2")) >= least)
+    return near.join(alike, ["t", "t2"])
 
 
 def best_match(left: DataFrame, right: DataFrame, block: list[str], score: Column, least: float, left_id: str, right_seq: str) -> DataFrame:

@@ -46,8 +46,7 @@ def monthly_run(candidates: DataFrame, config: RunConfig, history: DataFrame | N
     rows = prepare(candidates)
     checked = rules.verify(rows, config.month, config.canonical_dates, config.artifact_types, config.artifact_hints, config.watchlist).checkpoint()
     alive = checked.where("bucket = 'survivor'")
-    pairs = dedup.fuzzy_pairs(alive, "seq", F.col("title"), F.col("doi"), F.col("authors"))
-    kept = dedup.greedy_from_pairs(alive.select("seq"), pairs)
+    kept = dedup.greedy_fuzzy_dedup(alive, "seq", F.col("title"), F.col("doi"), F.col("authors"))
     alive = alive.join(kept, "seq")
     copies = alive.where("kept <> seq").withColumn("bucket", F.lit("excluded")).withColumn("routing_reason", F.lit("duplicate")).drop("kept")
     focus = rules.focus_domains(config.criteria, config.lexicons)

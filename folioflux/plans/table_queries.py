@@ -81,8 +81,7 @@ def greedy_fuzzy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles are first lines; the words of a line's start stand in for authors."""
     line = F.try_element_at(F.split("text", "\n"), F.lit(1))
     rows = table(spark, sf_dir, "documents").select("doc_id", line.alias("title"), F.md5(casefold(F.col("text"))).alias("doi"), F.array(F.left(line, F.lit(12)), F.right(line, F.lit(12))).alias("authors"))
-    pairs = dedup.fuzzy_pairs(rows, "doc_id", F.col("title"), F.col("doi"), F.col("authors"))
-    return dedup.greedy_from_pairs(rows.select(F.col("doc_id").alias("seq")), pairs)
+    return dedup.greedy_fuzzy_dedup(rows, "doc_id", F.col("title"), F.col("doi"), F.col("authors"))
 
 
 @query("artifact_to_canonical", None)

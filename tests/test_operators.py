@@ -22,8 +22,8 @@ def test_greedy_differs_from_components(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_greedy_rounds_equal_the_loop(spark, seed):
+@pytest.mark.parametrize("seed, settle", [(0, 0), (1, 0), (2, 30), (3, dedup.SETTLE)])
+def test_greedy_rounds_equal_the_loop(spark, seed, settle):
     r = random.Random(seed)
     n = 25
     pairs = {tuple(sorted(r.sample(range(n), 2))) for _ in range(40)}
@@ -32,18 +32,27 @@ def test_greedy_rounds_equal_the_loop(spark, seed):
         owner = min((lo for lo, hi in pairs if hi == k and kept[lo] == lo), default=k)
         kept[k] = owner
     rows = spark.createDataFrame([(k,) for k in range(n)], "seq long")
-    got = {r.seq: r.kept for r in dedup.greedy_from_pairs(rows, spark.createDataFrame(sorted(pairs), "lo long, hi long")).collect()}
+    got = {r.seq: r.kept for r in dedup.greedy_from_pairs(rows, spark.createDataFrame(sorted(pairs), "lo long, hi long"), settle).collect()}
     assert got == kept
 
 
-def test_greedy_exact_by_alternative_keys(spark):
+def test_greedy_settles_long_chains_of_large_ids(spark):
+    n, base = 5000, 1 << 60
+    rows = spark.range(base, base + n).withColumnRenamed("id", "seq")
+    pairs = rows.where(F.col("seq") > base).select((F.col("seq") - 1).alias("lo"), F.col("seq").alias("hi"))
+    got = {r.seq: r.kept for r in dedup.greedy_from_pairs(rows, pairs).collect()}
+    assert got == {base + k: base + k - k % 2 for k in range(n)}
+
+
+@pytest.mark.parametrize("settle", [0, dedup.SETTLE])
+def test_greedy_exact_by_alternative_keys(spark, settle):
     r = random.Random(9)
     rows = [(k, r.choice([None, *"abcde"]), r.choice([None, *"vwxyz"])) for k in range(40)]
     kept = {}
     for k, a, b in rows:
         kept[k] = min((j for j, c, d in rows[:k] if kept[j] == j and ((a and a == c) or (b and b == d))), default=k)
     df = spark.createDataFrame(rows, "seq long, a string, b string")
-    got = {r.seq: r.kept_seq for r in dedup.greedy_exact_dedup(df, "seq", [F.col("a"), F.col("b")]).collect()}
+    got = {r.seq: r.kept_seq for r in dedup.greedy_exact_dedup(df, "seq", [F.col("a"), F.col("b")], settle).collect()}
     assert got == kept
 
 
@@ -54,10 +63,34 @@ def test_keyed_dedup_joins_mentions(spark):
 
 
 def test_fuzzy_needs_title_and_author(spark):
-    rows = [(1, "Ocean heat content rises", None, ["A Smith"]), (2, "Ocean heat content rises.", None, ["a smith"]), (3, "Ocean heat content rises", None, ["B Jones"]), (4, "Other", "10.1/x", []), (5, "Unlike", "doi:10.1/X", [])]
+    rows = [(1, "Ocean heat content rises", None, ["A Smith"]), (2, "Ocean heat content rises.", None, ["a smith"]), (3, "Ocean heat content rises", None, ["B Jones"]), (4, "Other", "10.1/x", []), (5, "Unlike", "doi:10.1/X", []), (6, None, None, None)]
+    df = spark.createDataFrame(rows, "seq long, title string, doi string, authors array<string>")
+    got = {r.seq: r.kept for r in dedup.greedy_fuzzy_dedup(df, "seq", F.col("title"), F.col("doi"), F.col("authors")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6}
+    assert dedup.greedy_fuzzy_dedup(df.limit(0), "seq", F.col("title"), F.col("doi"), F.col("authors")).count() == 0
+
+
+@pytest.mark.parametrize("settle", [0, dedup.SETTLE])
+def test_fuzzy_equals_the_loop(spark, settle):
+    r = random.Random(11)
+    stems = ["".join(r.choice("abcd ") for _ in range(r.randrange(1, 40))) for _ in range(5)]
+
+    def title():
+        t = list(r.choice(stems))
+        for _ in range(r.randrange(0, 3)):
+            t[r.randrange(len(t))] = r.choice(["", "x", "y "])
+        return "".join(t)
+
+    rows = [(k, title(), r.choice([None] * 6 + ["10.1/a", "10.1/b"]), r.sample(["Ann", "BEN", "ben", "Strauß"], r.randrange(0, 3))) for k in range(70)]
+    key = lambda t: " ".join(t.lower().split())
+    fold = lambda names: {n.casefold() for n in names}
+    kept = {}
+    for k, t, d, a in rows:
+        alike = lambda o: (d and d == o[2]) or (fold(a) & fold(o[3]) and SequenceMatcher(None, key(t), key(o[1])).ratio() >= 0.92)  # noqa: E731, B023
+        kept[k] = min((o[0] for o in rows[:k] if kept[o[0]] == o[0] and alike(o)), default=k)
     df = spark.createDataFrame(rows, "seq long, title string, doi string, authors array<string>")
-    got = {(r.lo, r.hi) for r in dedup.fuzzy_pairs(df, "seq", F.col("title"), F.col("doi"), F.col("authors")).collect()}
-    assert got == {(1, 2), (4, 5)}
+    got = {r.seq: r.kept for r in dedup.greedy_fuzzy_dedup(df, "seq", F.col("title"), F.col("doi"), F.col("authors"), settle=settle).collect()}
+    assert got == kept and len(set(kept.values())) < 60
 
 
 def test_artifacts_meet_all_articles(spark):
