@@ -2,9 +2,9 @@
 
 A not-modified revisit record holds no body: it stands for the latest earlier full
 response of its canonical URL.  The lookup is an as-of join on (url key, time).  It runs
-in two levels, so that a URL with very many captures is split: captures of a key are
-dealt into slices of time order, each slice looks up within itself, and what a slice
-hands on to the next ones is one row.
+in two levels, so that a URL with very many captures is split: the log is dealt by range
+of (url key, time) into slices of like row counts, whatever the spread of the times; each
+slice looks up within itself, and what it hands on to the next ones of a URL is one row.
 
 A match must agree on its validators: an ETag on both sides has to be equal (weakly),
 else a Last-Modified on both sides has to be, else the payload digest.  Headers of a
@@ -18,10 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflux.llm.shared_store import stored
+
 #: Header fields that a 304 may update on the stored response.
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
-#: Captures of one key that a task orders at once.
-SLICE_ROWS = 20_000
+#: Captures that a task orders at once, about.
+SLICE_ROWS = 200_000
 
 
 def canonical_url(url: Column) -> Column:
@@ -40,13 +42,21 @@ def _weak(etag: Column) -> Column:
     return F.regexp_replace(etag, "^W/", "")
 
 
-def merge_headers(stored: Column, fresh: Column) -> Column:
-    """Stored headers with the permitted ones of the revisit in place of their own."""
+def lower_names(headers: Column) -> Column:
+    """Headers by name in lower case; of names that differ in case alone the
+    last in byte order counts."""
+    entries = F.array_sort(F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>"))))
+    names = F.transform(entries, lambda e: F.lower(e["key"]))
+    last = lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), F.lower(e["key"]))
+    return F.map_from_entries(F.transform(F.filter(entries, last), lambda e: F.struct(F.lower(e["key"]), e["value"])))
+
+
+def merge_headers(kept: Column, fresh: Column) -> Column:
+    """Stored headers with the permitted ones of the revisit in place of their own; names
+    of both are in lower case."""
     names = F.array(*[F.lit(n) for n in PERMITTED])
-    lower = lambda m: F.transform_keys(m, lambda k, _: F.lower(k))
-    update = F.map_filter(F.coalesce(lower(fresh), F.create_map().cast("map<string,string>")), lambda k, v: F.array_contains(names, k) & v.isNotNull())
-    base = F.map_filter(F.coalesce(lower(stored), F.create_map().cast("map<string,string>")), lambda k, _: ~F.array_contains(F.map_keys(update), k))
-    return F.map_concat(base, update)
+    update = F.map_filter(fresh, lambda k, v: F.array_contains(names, k) & v.isNotNull())
+    return F.map_concat(F.map_filter(kept, lambda k, _: ~F.array_contains(F.map_keys(update), k)), update)
 
 
 def resolve_revisits(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
@@ -55,81 +65,86 @@ def resolve_revisits(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFr
     ``records``: record_id string, url string, ts timestamp, type ('response' or
     'revisit'; others are left out), status int, etag, last_modified, digest strings,
     headers map.  Result, a row per revisit: record_id, url_key, ts, target_id (null:
-    none), target_ts, verdict ('match', 'mismatch', 'unverified' where no validator is
-    on both sides, 'missing'), headers (merged where the verdict isn't 'missing' or
-    'mismatch', else the revisit's own).
+    none, or one without an id), target_ts, verdict ('match', 'mismatch', 'unverified'
+    where no validator is on both sides, 'missing'), headers (merged where the verdict
+    isn't 'missing' or 'mismatch', else the revisit's own; names in lower case, no
+    headers are an empty map).
 
     Full responses are those with status 200.  'Earlier' is strictly so; of responses
-    of one instant the largest record_id counts.  A null url or ts finds nothing.
-    Repeated records give repeated rows.  Slices are equal spans of a URL's time, so
-    captures of one URL at one instant stay together.
+    of one instant the largest record_id counts, then the largest validators.  A null
+    url or ts finds nothing.  Repeated records give repeated rows; an empty table gives
+    an empty one.  Captures of one URL at one instant stay together in a slice.
+
+    The log is written to the shared folder twice, without bodies: as it is, and dealt
+    into slices; the slices of a repeated task are hence the same.
     """
-    base = records.where(F.col("type").isin("response", "revisit")).select(
-        "record_id", canonical_url(F.col("url")).alias("url_key"), "ts", F.col("type").alias("kind"), "status", "etag", "last_modified", "digest", "headers"
+    is_full = F.coalesce((F.col("type") == "response") & (F.col("status") == 200), F.lit(False))
+    base = records.where(is_full | (F.col("type") == "revisit")).select(
+        "record_id", canonical_url(F.col("url")).alias("url_key"), "ts", is_full.alias("full"), "etag", "last_modified", "digest", lower_names(F.col("headers")).alias("headers")
     )
-    is_full = (F.col("kind") == "response") & (F.col("status") == 200)
-    base = base.where(is_full | (F.col("kind") == "revisit")).withColumn("full", F.coalesce(is_full, F.lit(False)))
+    base = stored(base, "captures")
     able = F.col("url_key").isNotNull() & F.col("ts").isNotNull()
-    found = base.where(able)
-    sizes = found.groupBy("url_key").agg(F.count(F.lit(1)).alias("__n"), F.min("ts").alias("__from"), F.max("ts").alias("__to"))
-    sizes = sizes.withColumn("__slices", F.ceil(F.col("__n") / slice_rows))
-    span = F.unix_micros("__to") - F.unix_micros("__from") + 1
-    place = F.floor((F.unix_micros("ts") - F.unix_micros("__from")) / span * F.col("__slices")).cast("bigint")
-    found = found.join(sizes, "url_key").withColumn("__slice", place)
-    order = F.struct("ts", "record_id")
-    body = F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers")
-    carried = found.where("full").groupBy("url_key", "__slice").agg(F.max_by(body, order).alias("__last"))
+    parts = max(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-base.count() // slice_rows))
+    found = stored(base.where(able).repartitionByRange(parts, "url_key", "ts").withColumn("__slice", F.spark_partition_id()), "captures")
+
+    names = ["ts", "record_id", "etag", "last_modified", "digest"]
+    body = F.struct(*names, "headers")
+    order = F.when(F.col("full"), F.struct(*names, F.array_sort(F.map_entries("headers"))))
+    carried = found.groupBy("url_key", "__slice").agg(F.max_by(body, order).alias("__last"))
     before = Window.partitionBy("url_key").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     # Slices without a full response hand on what came before them.
-    slices = found.select("url_key", "__slice").distinct().join(carried, ["url_key", "__slice"], "left")
-    handed = slices.select("url_key", "__slice", F.last("__last", ignorenulls=True).over(before).alias("__handed"))
+    handed = carried.select("url_key", "__slice", F.last("__last", ignorenulls=True).over(before).alias("__handed"))
     within = Window.partitionBy("url_key", "__slice").orderBy(F.unix_micros("ts")).rangeBetween(Window.unboundedPreceding, -1)
-    looked = found.withColumn("__own", F.max(F.when(F.col("full"), F.struct("ts", "record_id"))).over(within))
-    revisits = looked.where("kind = 'revisit'").join(handed, ["url_key", "__slice"])
-    targets = found.where("full").select("url_key", F.col("ts").alias("__ts"), F.col("record_id").alias("__id"), body.alias("__body")).dropDuplicates(["url_key", "__ts", "__id"])
-    revisits = revisits.select("url_key", "ts", "record_id", "etag", "last_modified", "digest", "headers", F.coalesce("__own", F.when(F.col("__handed").isNotNull(), F.struct(F.col("__handed.ts").alias("ts"), F.col("__handed.record_id").alias("record_id")))).alias("__at"))
-    joined = revisits.withColumn("__ts", F.col("__at.ts")).withColumn("__id", F.col("__at.record_id")).join(targets, ["url_key", "__ts", "__id"], "left")
-    lost = base.where(~able & (F.col("kind") == "revisit"))
+    looked = found.withColumn("__own", F.max_by(body, order).over(within)).where("not full")
+    joined = looked.join(handed, ["url_key", "__slice"]).withColumn("__body", F.coalesce("__own", "__handed"))
+
     t = lambda c: F.col(f"__body.{c}")
+    both = lambda c: F.col(c).isNotNull() & t(c).isNotNull()
+    said = lambda same: F.when(same, "match").otherwise("mismatch")
     verdict = (
         F.when(F.col("__body").isNull(), "missing")
-        .when(F.col("etag").isNotNull() & t("etag").isNotNull(), F.when(_weak(F.col("etag")) == _weak(t("etag")), "match").otherwise("mismatch"))
-        .when(F.col("last_modified").isNotNull() & t("last_modified").isNotNull(), F.when(F.col("last_modified") == t("last_modified"), "match").otherwise("mismatch"))
-        .when(F.col("digest").isNotNull() & t("digest").isNotNull(), F.when(F.col("digest") == t("digest"), "match").otherwise("mismatch"))
+        .when(both("etag"), said(_weak(F.col("etag")) == _weak(t("etag"))))
+        .when(both("last_modified"), said(F.col("last_modified") == t("last_modified")))
+        .when(both("digest"), said(F.col("digest") == t("digest")))
         .otherwise("unverified")
     )
-    done = joined.withColumn("verdict", verdict)
-    done = done.select("record_id", "url_key", "ts", F.col("__id").alias("target_id"), F.col("__ts").alias("target_ts"), "verdict", F.when(F.col("verdict").isin("match", "unverified"), merge_headers(t("headers"), F.col("headers"))).otherwise(F.col("headers")).alias("headers"))
+    merged = F.when(F.col("verdict").isin("match", "unverified"), merge_headers(t("headers"), F.col("headers"))).otherwise(F.col("headers"))
+    done = joined.withColumn("verdict", verdict).select("record_id", "url_key", "ts", t("record_id").alias("target_id"), t("ts").alias("target_ts"), "verdict", merged.alias("headers"))
+    lost = base.where(~able & ~F.col("full"))
     none = lost.select("record_id", "url_key", "ts", F.lit(None).cast("string").alias("target_id"), F.lit(None).cast("timestamp").alias("target_ts"), F.lit("missing").alias("verdict"), "headers")
     return done.unionByName(none)
 
 
 def records_of_pages(pages: DataFrame) -> DataFrame:
-    """A crawl log over the whole ``pages`` table.
+    """A crawl log over the whole ``pages`` table, read once.
 
     Page p is fetched at second p, as a full response but for every sixth, which comes
-    as a revisit.  Each page is asked for again much later, as a revisit.  Revisits'
-    validators follow the id: every seventh has another ETag, every fifth none.
+    as a revisit.  Each page is asked for again much later, as a revisit.  A page without
+    an id isn't logged.  Of the full responses every fourth has no ETag.  Revisits'
+    validators follow the id: every seventh has another ETag, every fifth none; one in
+    three another Last-Modified, one in three none; every second no digest.
     """
-    key, digest = F.col("page_id"), F.sha1(F.coalesce("html", F.lit("")))
-    at = lambda s: F.timestamp_seconds(s)
+    key, html = F.col("page_id"), F.coalesce("html", F.lit(""))
+    no = F.lit(None).cast("string")
     site = F.substring(F.md5(canonical_url(F.col("url"))), 1, 8)
-    tag = F.concat(F.lit('"'), site, F.lit('"'))
-    full = F.pmod(key, F.lit(6)) != 5
-    headers = lambda date, tag: F.create_map(F.lit("Date"), date.cast("string"), F.lit("ETag"), F.coalesce(tag, F.lit("none")), F.lit("Content-Length"), F.length(F.coalesce("html", F.lit(""))).cast("string"))
+    tag, modified = F.concat(F.lit('"'), site, F.lit('"')), F.concat(F.lit("m"), site)
     sent = F.when(F.pmod(key, F.lit(7)) == 0, F.concat(F.lit('W/"x'), site, F.lit('"'))).when(F.pmod(key, F.lit(5)) != 0, F.concat(F.lit("W/"), tag))
-    first = pages.where(key.isNotNull()).select(
-        F.concat(F.lit("a"), key.cast("string")).alias("record_id"), "url", at(key).alias("ts"), F.when(full, "response").otherwise("revisit").alias("type"), F.when(full, 200).otherwise(304).alias("status"),
-        F.when(full, tag).otherwise(sent).alias("etag"), F.lit(None).cast("string").alias("last_modified"), digest.alias("digest"), headers(key, F.when(full, tag).otherwise(sent)).alias("headers"),
-    )
-    again = pages.where(key.isNotNull()).select(
-        F.concat(F.lit("b"), key.cast("string")).alias("record_id"), "url", at(key + 100_000_000).alias("ts"), F.lit("revisit").alias("type"), F.lit(304).alias("status"),
-        sent.alias("etag"), F.lit(None).cast("string").alias("last_modified"), digest.alias("digest"), headers(key + 100_000_000, sent).alias("headers"),
-    )
-    return first.unionByName(again)
+    since = F.when(F.pmod(key, F.lit(3)) == 0, F.concat(F.lit("x"), modified)).when(F.pmod(key, F.lit(3)) == 1, modified)
+
+    def record(name: str, at: Column, full: Column) -> Column:
+        etag = F.when(full, F.when(F.pmod(key, F.lit(4)) != 1, tag)).otherwise(sent)
+        headers = F.create_map(F.lit("Date"), at.cast("string"), F.lit("ETag"), F.coalesce(etag, F.lit("none")), F.lit("Content-Length"), F.length(html).cast("string"))
+        return F.struct(
+            F.concat(F.lit(name), key.cast("string")).alias("record_id"), "url", F.timestamp_seconds(at).alias("ts"), F.when(full, "response").otherwise("revisit").alias("type"), F.when(full, 200).otherwise(304).alias("status"),
+            etag.alias("etag"), F.when(full, modified).otherwise(since).alias("last_modified"), F.when(full | (F.pmod(key, F.lit(2)) == 1), F.sha1(html)).otherwise(no).alias("digest"), headers.alias("headers"),
+        )
+
+    both = F.array(record("a", key, F.pmod(key, F.lit(6)) != 5), record("b", key + 100_000_000, F.lit(False)))
+    return pages.where(key.isNotNull()).select(F.inline(both))
 
 
 def op5_revisits(pages: DataFrame) -> DataFrame:
+    """A row per revisit of the log of ``pages``, with two of its headers."""
     found = resolve_revisits(records_of_pages(pages))
     return found.select("record_id", "url_key", F.unix_seconds("ts").alias("fetched"), "target_id", F.unix_seconds("target_ts").alias("target_fetched"), "verdict", F.col("headers")["etag"].alias("etag"), F.col("headers")["content-length"].alias("content_length"))
 
@@ -147,23 +162,26 @@ WITH bare AS (
 ), keyed AS (
   SELECT page_id, coalesce(html, '') AS html, CASE WHEN u IS NULL THEN NULL ELSE host || path || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS url_key FROM parts
 ), tagged AS (
-  SELECT page_id, html, url_key, page_id % 6 <> 5 AS is_full, '"' || {_SITE} || '"' AS tag,
-    CASE WHEN page_id % 7 = 0 THEN 'W/"x' || {_SITE} || '"' WHEN page_id % 5 <> 0 THEN 'W/"' || {_SITE} || '"' END AS sent
+  SELECT page_id, html, url_key, page_id % 6 <> 5 AS is_full, CASE WHEN page_id % 4 <> 1 THEN '"' || {_SITE} || '"' END AS tag, 'm' || {_SITE} AS modified,
+    CASE WHEN page_id % 7 = 0 THEN 'W/"x' || {_SITE} || '"' WHEN page_id % 5 <> 0 THEN 'W/"' || {_SITE} || '"' END AS sent,
+    CASE page_id % 3 WHEN 0 THEN 'xm' || {_SITE} WHEN 1 THEN 'm' || {_SITE} END AS since,
+    CASE WHEN page_id % 2 = 1 THEN sha1(html) END AS digest
   FROM keyed
 ), revisits AS (
-  SELECT 'a' || page_id AS record_id, url_key, page_id AS fetched, sent, html FROM tagged WHERE NOT is_full
-  UNION ALL SELECT 'b' || page_id, url_key, page_id + 100000000, sent, html FROM tagged
+  SELECT 'a' || page_id AS record_id, url_key, page_id AS fetched, sent, since, digest, html FROM tagged WHERE NOT is_full
+  UNION ALL SELECT 'b' || page_id, url_key, page_id + 100000000, sent, since, digest, html FROM tagged
 ), full_ones AS (
-  SELECT 'a' || page_id AS target_id, url_key, page_id AS target_fetched, tag, html AS body FROM tagged WHERE is_full
+  SELECT 'a' || page_id AS target_id, url_key, page_id AS target_fetched, tag, modified, html AS body FROM tagged WHERE is_full
 ), found AS (
-  SELECT r.*, f.target_id, f.target_fetched, f.tag, f.body FROM revisits r ASOF LEFT JOIN full_ones f ON r.url_key = f.url_key AND r.fetched > f.target_fetched
+  SELECT r.*, f.target_id, f.target_fetched, f.tag, f.modified, f.body FROM revisits r ASOF LEFT JOIN full_ones f ON r.url_key = f.url_key AND r.fetched > f.target_fetched
 ), judged AS (
   SELECT *, CASE WHEN target_id IS NULL THEN 'missing'
-    WHEN sent IS NOT NULL AND tag IS NOT NULL THEN CASE WHEN regexp_replace(sent, '^W/', '') = regexp_replace(tag, '^W/', '') THEN 'match' ELSE 'mismatch' END
-    WHEN sha1(html) = sha1(body) THEN 'match' ELSE 'mismatch' END AS verdict FROM found
+    WHEN sent IS NOT NULL AND tag IS NOT NULL THEN CASE WHEN regexp_replace(sent, '^W/', '') = tag THEN 'match' ELSE 'mismatch' END
+    WHEN since IS NOT NULL AND modified IS NOT NULL THEN CASE WHEN since = modified THEN 'match' ELSE 'mismatch' END
+    WHEN digest IS NOT NULL THEN CASE WHEN digest = sha1(body) THEN 'match' ELSE 'mismatch' END
+    ELSE 'unverified' END AS verdict FROM found
 )
-SELECT record_id, url_key, fetched, target_id, target_fetched, verdict,
-  CASE WHEN verdict = 'match' THEN coalesce(sent, 'none') END AS etag,
-  CASE WHEN verdict = 'match' THEN CAST(length(body) AS VARCHAR) END AS content_length
+SELECT record_id, url_key, fetched, target_id, target_fetched, verdict, coalesce(sent, 'none') AS etag,
+  CAST(length(CASE WHEN verdict IN ('match', 'unverified') THEN body ELSE html END) AS VARCHAR) AS content_length
 FROM judged
 """

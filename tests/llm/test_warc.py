@@ -25,6 +25,7 @@ def brute(records):
             continue
         earlier = [x for x in records if x[3] == "response" and x[4] == 200 and url is not None and x[1] == url and ts is not None and x[2] is not None and x[2] < ts]
         best = max(earlier, key=lambda x: (x[2], x[0]), default=None)
+        headers = {k.lower(): v for k, v in sorted((headers or {}).items())}
         if best is None:
             out.append((rid, None, "missing", headers))
             continue
@@ -34,8 +35,8 @@ def brute(records):
                 verdict = "match" if mine.removeprefix("W/") == theirs.removeprefix("W/") else "mismatch"
                 break
         if verdict in ("match", "unverified"):
-            merged = {k.lower(): v for k, v in (best[8] or {}).items()}
-            merged |= {k.lower(): v for k, v in (headers or {}).items() if k.lower() in ("etag", "date") and v is not None}
+            merged = {k.lower(): v for k, v in sorted((best[8] or {}).items())}
+            merged |= {k: v for k, v in headers.items() if k in ("etag", "date") and v is not None}
             headers = merged
         out.append((rid, best[0], verdict, headers))
     return sorted(out, key=repr)
@@ -48,9 +49,9 @@ def test_against_brute_force(spark, slice_rows):
     for k in range(300):
         kind = r.choice(["response", "revisit", "revisit", "request"])
         records.append((
-            f"r{k:03}", r.choice(["hot.com/a"] * 6 + ["b.com", "c.com", None]), r.choice([None] + [START + timedelta(seconds=r.randrange(200))] * 9), kind,
+            f"r{k:03}", r.choice(["hot.com/a"] * 6 + ["b.com", "c.com", None]), r.choice([None] + [START + timedelta(seconds=r.randrange(200))] * 9 + [START - timedelta(days=9000)]), kind,
             r.choice([200, 200, 200, 404, None]) if kind == "response" else 304, r.choice([None, '"x"', 'W/"x"', '"y"']), r.choice([None, "Mon", "Tue"]), r.choice([None, "d1", "d2"]),
-            r.choice([None, {"Date": "d", "X-Own": "1", "ETag": str(k)}, {"etag": "e", "content-length": "5"}]),
+            r.choice([None, {"Date": "d", "X-Own": "1", "ETag": str(k)}, {"etag": "e", "content-length": "5"}, {"ETag": "1", "etag": "2", "Date": None}]),
         ))
     df = spark.createDataFrame([(*x, "clash") for x in records], SCHEMA).repartition(4)
     got = sorted([(x.record_id, x.target_id, x.verdict, x.headers) for x in resolve_revisits(df, slice_rows).collect()], key=repr)
@@ -68,3 +69,13 @@ def test_oracle(spark):
     for f in (want, got):
         f["target_fetched"] = f["target_fetched"].astype("Int64")
     assert key(got) == key(want) and len(got) > 250
+    assert set(got["verdict"]) == {"match", "mismatch", "unverified", "missing"}
+
+
+def test_responses_without_an_id_and_stray_times(spark):
+    """One old capture beside a burst: the burst is spread, by rows and not by time."""
+    records = [(None, "http://a.com", START - timedelta(days=9000), "response", 200, '"x"', None, None, None)]
+    records += [(f"r{k}", "http://a.com", START + timedelta(seconds=k), "revisit", 304, '"x"', None, None, None) for k in range(200)]
+    df = spark.createDataFrame(records, SCHEMA.rsplit(",", 1)[0])
+    got = resolve_revisits(df, 10).collect()
+    assert len(got) == 200 and {(r.verdict, r.target_id, r.target_ts is None) for r in got} == {("match", None, False)}
