@@ -18,19 +18,23 @@ def known_labels(labels: DataFrame, label: str) -> DataFrame:
 
 
 def fetch_sample(docs: DataFrame, labels: DataFrame | None, total_bytes: int, per_label: int, fold: Column) -> tuple[list[str], list]:
-    """Texts and labels of up to ``per_label`` rows a label, ``total_bytes`` in all.
+    """Texts and labels of up to ``per_label`` ids a label, ``total_bytes`` in all.
 
-    Rows are taken in the order of a hash of doc_id, from those in ``fold`` with a text
+    Ids are taken in the order of a hash of doc_id, from rows in ``fold`` with a text
     and a label: the one in ``labels``, or ``docs.label`` where that is None.  Only whole
-    texts are taken, and those longer than a hundredth of ``total_bytes`` are left to
-    scoring.  Ids and sizes alone are joined; the texts of the chosen ids, bounded as
-    said, are then read through a broadcast of these ids.
+    texts are taken.  An id with more than a hundredth of ``total_bytes``, in all its
+    rows, or with two labels is left to scoring, so an id that is repeated without end
+    brings nothing to the driver.  Ids and sizes alone are joined; the texts of the
+    chosen ids, bounded as said, are then read through a broadcast of these ids.
     """
     text = F.col("text").cast("string")
-    rows = docs.where(fold & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.octet_length(text) <= total_bytes // 100))
-    slim = rows.select("doc_id", F.octet_length(text).cast("long").alias("size"), *(["label"] if labels is None else []))
-    if labels is not None:
-        slim = slim.join(labels, "doc_id")
+    rows = docs.where(fold & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    size = F.sum(F.octet_length(text).cast("long") + 1).alias("size")
+    if labels is None:
+        slim = rows.groupBy("doc_id").agg(size, F.min("label").alias("label"), F.max("label").alias("__other")).where("label = __other").drop("__other")
+    else:
+        slim = rows.groupBy("doc_id").agg(size).join(labels, "doc_id")
+    slim = slim.where(F.col("size") <= total_bytes // 100 + 1)
     slim = slim.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(11)), 2))
     counts = {r.label: (r.n, r.mean) for r in slim.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean")).collect()}
     if not counts:

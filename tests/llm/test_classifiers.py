@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioflux.llm import language_id, quality, toxicity
+from folioflux.llm.labels import fetch_sample
 from folioflux.llm.rows import block_of
 
 BASE = "/root/testdata/sf0.1"
@@ -78,3 +80,12 @@ def test_echo_hears_repeats():
 def test_language_scores_of_empty_block():
     model = language_id.LanguageModel(["a"], np.zeros((language_id.BUCKETS, 1), np.float32), np.zeros(1))
     assert model.predict(block_of([""]))[0] == ["und"]
+
+
+def test_samples_are_bounded_whatever_repeats(spark):
+    rows = [(k, f"text {k}", "a" if k % 2 else "b") for k in range(60)] + [(100, "again " * 3, "a")] * 3000 + [(101, "x" * 200, "a"), (102, "two labels", "a"), (102, "two labels", "b"), (None, "no id", "a"), (103, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    texts, known = fetch_sample(docs, None, 10_000, 50, F.lit(True))
+    assert len(texts) == len(known) == 60 and set(texts) == {f"text {k}" for k in range(60)}
+    labels = docs.groupBy("doc_id").agg(F.min("label").alias("label")).where("doc_id <> 102")
+    assert fetch_sample(docs, labels, 10_000, 50, F.lit(True)) == (texts, known)
