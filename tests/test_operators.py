@@ -138,6 +138,21 @@ def test_anchors_meet_all_parts_but_themselves(spark, tmp_path):
     assert {r.new_id: r.node_id for r in graph_queries.anchor_best_match(spark, str(tmp_path)).collect()} == {50: 100, 100: 50}
 
 
+def test_anchors_of_one_name_cost_no_pairs(spark):
+    r = random.Random(7)
+    words = ["steel", "blue", "bolt", "bolts", "rod"]
+    rows = [(k, r.choice("TU"), [" ".join(r.choice(words) for _ in range(r.randrange(0, 4)))]) for k in range(160)]
+    want = {}
+    for k, t, (f,) in rows[::3]:
+        scores = [(-token_set(f, g) / 100.0, o) for o, u, (g,) in rows if u == t and o != k]
+        score, o = min(scores)
+        if -score >= 0.78:
+            want[k] = (o, -score)
+    df = spark.createDataFrame(rows, "id long, b string, forms array<string>")
+    got = dedup.best_match(df.where("id % 3 = 0").withColumnRenamed("id", "l"), df.withColumnRenamed("id", "r"), "b", 0.78, "l", "r")
+    assert {x.l: (x.r, x.score) for x in got.collect()} == want
+
+
 def test_keys_hold_whole_texts(spark, tmp_path):
     opening = "The same opening of more than forty characters, "
     docs = [(1, opening + "then one"), (2, opening + "then two"), (3, opening + " then\tone"), (4, opening.upper() + "THEN ONE")]
