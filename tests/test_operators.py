@@ -198,6 +198,20 @@ def test_entities_equal_the_scan_of_all_nodes(spark):
     assert {r.id: (r.outcome, r.target, r.score) for r in dedup.resolve_entities(df).collect()} == want
 
 
+def test_entities_score_a_name_once(spark, monkeypatch):
+    """Rows whose names and nodes are known cost a look-up, not a score of each node."""
+    rows = [(f"n{k}", "T", k, ["red bolt", "blue rod", "old gear"][k % 3], [], k % 10 == 0) for k in range(300)]
+    df = spark.createDataFrame(rows, "id string, type string, seq long, name string, aliases array<string>, known boolean")
+    got = {(r.outcome, r.target) for r in dedup.resolve_entities(df).collect() if r.outcome != "known"}
+    assert got == {("merge", "n0"), ("merge", "n10"), ("merge", "n20")}
+    scored, score = [], dedup._best_score
+    monkeypatch.setattr(dedup, "_best_score", lambda f, g: scored.append(1) or score(f, g))
+    one = dedup._Resolver(0, 0.92, 0.78)
+    for r in df.collect():
+        one.resolve(r, None)
+    assert len(scored) <= 9
+
+
 def test_bridge_needs_both_directions(spark):
     edges = spark.createDataFrame([("a", "supports", "idea", 0.9), ("b", "supports", "idea", 0.5), ("a", "x", "idea", 0.2)], "src string, rel string, dst string, confidence double")
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
