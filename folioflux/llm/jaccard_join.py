@@ -43,8 +43,9 @@ from folioflux.llm.rows import LOWER, NON_SPACE, TextBlock, chain, find_words, h
 SHARED_PART = 0.25
 #: Bounds of a cell: sets, and shingles of all of them (3 MB of hashes).
 CELL_SETS, CELL_SHINGLES = 700, 400_000
-#: Ids of sets to be searched that may be sent to every task: 8 MB; more are joined.
-SENT_IDS = 1_000_000
+#: Ids of sets to be searched that may be sent to every task: 0.8 MB, some MB while the
+#: driver builds them; of more, a bitmap of so many bits is sent (4 MB, whatever their number).
+SENT_IDS, ID_BITS = 100_000, 1 << 25
 #: Shingles that a shard of the two routing steps stands for.
 SHARD_SHINGLES = 600_000
 #: Weight of probing against merging in DivideSkip's choice of L.
@@ -408,6 +409,17 @@ def _families(routes: DataFrame) -> DataFrame:
     return family.join(F.broadcast(cut) if few else cut, "family", "left").withColumn("cells", F.coalesce("cells", F.lit(1).cast("bigint")))
 
 
+def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` whose doc_id is one of ``ids``, and a few others: no text is moved, and
+    what the driver sends doesn't grow with the ids."""
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS)) + 1
+    bits = ids.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("__bits"))
+    at = F.bitmap_bit_position(spot).cast("int")
+    octet = F.conv(F.hex(F.substring(F.col("__bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = rows.withColumn("__bucket", F.bitmap_bucket_number(spot)).join(F.broadcast(bits), "__bucket")
+    return marked.where(octet.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0).select(*rows.columns)
+
+
 def _search(blocks: DataFrame, percent: int) -> DataFrame:
     """Search each (family, cell, other); ``asks`` marks the sets that ask, null: all do."""
 
@@ -495,8 +507,8 @@ def _classes(docs: DataFrame, words: int, percent: int, count_links: bool) -> Da
     # The few sets left come from their texts again, which costs less than moving all.
     of_rep = routes.select(*FINGERPRINT, "rep", "least", "keys").join(family, "rep")
     wanted = of_rep.select(F.col("least").alias("doc_id")).distinct()
-    few = family.count() <= SENT_IDS
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    texts = texts.join(F.broadcast(wanted), "doc_id", "left_semi") if family.count() <= SENT_IDS else _among(texts, wanted)
     whole = _sets(texts, words, whole=True).select(*FINGERPRINT, "shingles")
     sets = whole.join(of_rep, FINGERPRINT).dropDuplicates(["rep"]).select("rep", "keys", "shingles", "family", "cells").checkpoint()
     if count_links:

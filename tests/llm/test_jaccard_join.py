@@ -148,3 +148,15 @@ def test_link_threshold_is_exact():
     a = np.arange(95, dtype=np.uint64)
     assert J.linked(a, np.arange(100, dtype=np.uint64), 95)
     assert not J.linked(a, np.arange(101, dtype=np.uint64), 95)
+
+
+def test_many_ids_are_sent_as_a_bitmap(spark, monkeypatch):
+    """Every wanted id passes, whatever its size, and hardly another one does."""
+    monkeypatch.setattr(J, "ID_BITS", 1 << 18)
+    wanted = [0, -1, 7, 1 << 40, -(1 << 50), *range(5000, 5400)]
+    rows = spark.createDataFrame([(k, "x") for k in [*wanted, *range(100_000, 103_000)]], "doc_id long, text string")
+    got = J._among(rows, spark.createDataFrame([(k,) for k in wanted], "doc_id long"))
+    assert got.columns == ["doc_id", "text"]
+    found = [r.doc_id for r in got.collect()]
+    assert set(wanted) <= set(found) and len(found) < len(wanted) + 60
+    assert J._among(rows, rows.select("doc_id").limit(0)).count() == 0
