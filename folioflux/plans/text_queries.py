@@ -266,8 +266,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("inverted_index_rebuild", "SELECT doc_id, md5(array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ')) AS body FROM documents")
 def inverted_index_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(T.tokens(F.col("text"))).alias("p", "w"))
-    index = words.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("w", "ps")))).alias("index"))
+    index = documents.inverted_indexes(table(spark, sf_dir, "documents"), "doc_id", "text")
     return index.select("doc_id", F.md5(documents.rebuilt_text(F.col("index"))).alias("body"))
 
 
