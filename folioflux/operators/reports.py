@@ -70,6 +70,14 @@ def union_buckets(frames: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     return out
 
 
+def with_place(rows: DataFrame, buckets: Sequence[str]) -> DataFrame:
+    """Rows of some buckets with ``bucket_ord``, the bucket's place: ``union_buckets`` of
+    one table's buckets, in one pass.  A generator keeps the rules from being evaluated
+    once more, in a filter."""
+    place = F.array_position(F.array(*[F.lit(b) for b in buckets]), F.coalesce("bucket", F.lit(""))).cast("int") - 1
+    return rows.withColumn("bucket_ord", F.explode(F.when(place >= 0, F.array(place))))
+
+
 def review_row(df: DataFrame, scalars: Sequence[str], arrays: Sequence[str], maps: Sequence[str] = (), scores: Sequence[str] = ()) -> DataFrame:
     """Flat text columns: arrays by '; ', maps as 'key: value', zero scores empty."""
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in scalars]

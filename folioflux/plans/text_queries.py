@@ -158,9 +158,8 @@ def zero_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("review_rows_union", f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, bucket, {_TAGS} AS tags, exclusions, CASE bucket WHEN 'evaluated' THEN 0 WHEN 'manual_review' THEN 1 ELSE 2 END AS bucket_ord FROM ({_ROUTED})".replace("exclusions, CASE bucket", "replace(exclusions, ';', '; ') AS exclusions, CASE bucket").replace(f"{_TAGS} AS tags", f"replace({_TAGS}, ';', '; ') AS tags"))
 def review_rows_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = assessed(spark, sf_dir)
-    parts = [(b, rows.where(F.col("bucket") == b).select("doc_id", "tags", "exclusions")) for b in ("evaluated", "manual_review", "excluded")]
-    whole = reports.union_buckets(parts)
+    rows = assessed(spark, sf_dir).select("doc_id", "bucket", "tags", "exclusions")
+    whole = reports.with_place(rows, ["evaluated", "manual_review", "excluded"])
     return reports.review_row(whole.withColumn("o", F.col("bucket_ord")), ["doc_id", "bucket", "o"], ["tags", "exclusions"]).withColumn("bucket_ord", F.col("o").cast("int")).drop("o")
 
 
