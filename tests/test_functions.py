@@ -85,3 +85,33 @@ def test_small_text_helpers(spark):
     assert one(spark, S.nfkd_slug(F.col("a")), a="Crème Brûlée №5") == "creme-brulee-no5"
     assert one(spark, S.unescape_html(F.col("a")), a="a &amp; b") == "a & b"
     assert one(spark, S.loose_find(F.col("a"), F.col("b")), a="x  the   cat", b="the cat") == 3
+
+
+def test_ratio_reached_equals_the_ratio():
+    """Long texts too, of which SequenceMatcher leaves out frequent characters."""
+    import random
+    from difflib import SequenceMatcher
+
+    from folioflux.functions.similarity import RatioTo
+
+    r = random.Random(4)
+    answers = set()
+    for n in range(300):
+        b = [r.choice("abcdefgh ,.XYZé"[: r.randrange(1, 15)]) for _ in range(r.choice([0, 1, 5, 30, 190, 260, 500]))]
+        a = list(b)
+        for _ in range(r.randrange(0, 1 + len(b) // 8)):
+            a[r.randrange(len(a))] = r.choice(["", "x", "ab", "é"])
+        a, b = "".join(a), "".join(b)
+        ratio, own = SequenceMatcher(None, a, b).ratio(), RatioTo(b)
+        for least in (0.3, 0.88, 0.92, ratio, ratio + 1e-9, 1.0):
+            assert own.reaches(a, least) == (ratio >= least), (a, b, least)
+        answers.add(ratio >= 0.92)
+    assert answers == {True, False}
+
+
+def test_later_titles_alone_are_compared(spark):
+    from folioflux.operators import dedup
+
+    rows = [("x", "ocean heat rises", 1, 1), ("x", "ocean heat rises.", 2, 2), ("x", "ocean heat, rises", 1, 5)]
+    got = dedup._near_titles(spark.createDataFrame(rows, "a string, t string, lo long, hi long"), 0.92)
+    assert {(r.t, r.t2) for r in got.collect()} == {(rows[1][1], rows[0][1]), (rows[1][1], rows[2][1]), (rows[2][1], rows[0][1]), (rows[2][1], rows[1][1])}
